@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from . import batches, distinctive, encoding, neardup, splitting
+from . import batches, distinctive, encoding, encodings, markup, mixing, neardup, splitting
 
 PAGE_SIMILARITY, PAGE_WIDTH = 0.6, 3
 
@@ -48,6 +48,26 @@ def p3_weights(spark: SparkSession, d: str) -> DataFrame:
     return _weights(spark, d).withColumn("weight", F.round("weight", 6))
 
 
+def _markup_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every text that may hold markup: tbl, page_id, host (first directory of the path), text."""
+    host = F.regexp_extract(F.col("path"), r"^([^/]*)/", 1).alias("host")
+    parts = [table(spark, d, t).select(F.lit(t).alias("tbl"), "page_id", host, F.col(c).alias("text")) for t, c in (("wiki_pages", "content"), ("search_docs", "body"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    held = [markup.held_markups(table(spark, d, t).select(F.lit(t).alias("tbl"), "page_id", c), "page_id", c, ["tbl"]) for t, c in (("wiki_pages", "content"), ("search_docs", "body"))]
+    return held[0].unionByName(held[1]).distinct()
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_texts(_markup_records(spark, d), "page_id", "text", ["tbl", "host"])
+
+
+def p4_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return markup.wrappers(p4_clean(spark, d).where("clean is not null").select("host", "blocks"))
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_segments(table(spark, d, "segments"), table(spark, d, "split_limits"))
 
@@ -64,6 +84,23 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mix(spark, d), table(spark, d, "mix_targets")).withColumn("reached_share", F.round("reached_share", 6))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return encodings.repaired(table(spark, d, "documents")).withColumn("posterior", F.round("posterior", 4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_by_batch, p3_found, p3_weights, p5_found, p5_pieces, p7_ids)
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_by_batch, p3_found, p3_weights, p4_found, p4_clean, p4_wrappers, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired)
 }
