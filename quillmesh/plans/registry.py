@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity
+from . import integrity, retrieval
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "search_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (integrity,):
+for _module in (retrieval, integrity):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
