@@ -57,7 +57,7 @@ _BYTES = (
 )
 CHAINS = tuple((r, "utf_8", 1) for r in _UTF8_READ_AS) + (("western", "utf_8", 2), ("mac_roman", "utf_8", 2), ("cp1250", "utf_8", 2), ("cp1251", "utf_8", 2), ("cp437", "utf_8", 2)) + tuple((r, w, 1) for r, w in _BYTES)
 NAMES = ("none", *(f"{w} read as {r}" + " twice" * (n == 2) for r, w, n in CHAINS))
-_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
+_SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 _WIDE_CODECS = ("cp932", "euc_jp", "gbk")
 
 

@@ -1,5 +1,8 @@
 import random
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from quillmesh.llm import encodings
 
 WORDS = {
@@ -70,3 +73,11 @@ def test_undo_is_the_inverse_of_wrong_reading():
                 if written == "utf_8":
                     assert encodings.undo(wrong, (read, written, 1)) == w, (text, read, written)
     assert encodings.undo("Ã¢â‚¬â€œ", ("western", "utf_8", 2)) == "–" and encodings.undo("â\x80\x93", ("western", "utf_8", 1)) == "–"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=30), st.binary(max_size=40))
+def test_candidates_never_fail(text, raw):
+    for t in (text, raw.decode("cp437"), raw.decode("latin_1"), raw.decode("mac_roman")):
+        for _, new in encodings.candidates(t):
+            new.encode()
