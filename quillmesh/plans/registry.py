@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import integrity, retrieval, wiki
+from . import integrity, provenance, retrieval, telemetry, wiki
 
 FLAGSHIP = "search_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (retrieval, integrity, wiki):
+for _module in (retrieval, integrity, wiki, provenance, telemetry):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
