@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 NARROW = "".join(map(chr, range(0x21, 0x7F)))
 PUNCTUATION = r"[_\-/.,:;!?'\"()\[\]{}<>|\\@#$%^&*+=~`]+"
+BLANKS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 CJK = r"\x{2e80}-\x{9fff}\x{f900}-\x{faff}\x{fe30}-\x{fe4f}\x{ac00}-\x{d7af}"
 
 #: Synonyms of search terms (fixed values).
@@ -43,7 +44,7 @@ SYNONYMS = {
 def normalize(text: Column) -> Column:
     """Lower case, ordinary width, punctuation and runs of blanks as one blank, none around."""
     plain = F.regexp_replace(F.translate(F.lower(text), WIDE, NARROW), PUNCTUATION, " ")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.trim(F.regexp_replace(plain, BLANKS, " "))
 
 
 def tokens(text: Column) -> Column:

@@ -112,9 +112,9 @@ def text_slugs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "wiki_pages").select("page_id", tx.slugify(F.col("title")).alias("slug"), tx.stem(F.col("path")).alias("stem"))
 
 
-_TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower({0}), '{wide}', '{narrow}'), '[_\-/.,:;!?''\"()\[\]{{}}<>|\\@#$%^&*+=~`]+', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')".replace(
+_TOK = r"list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower({0}), '{wide}', '{narrow}'), '[_\-/.,:;!?''\"()\[\]{{}}<>|\\@#$%^&*+=~`]+', ' ', 'g'), '{blanks}', ' ', 'g')), ' '), lambda x: x <> '')".replace(
     "{wide}", tx.WIDE
-).replace("{narrow}", tx.NARROW.replace("'", "''"))
+).replace("{narrow}", tx.NARROW.replace("'", "''")).replace("{blanks}", tx.BLANKS.replace("{", "{{").replace("}", "}}"))
 
 
 def tok(expr: str) -> str:
