@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -149,13 +150,15 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     large their bonuses would be. An empty query or corpus gives no rows.
     """
     terms = query_terms(queries)
-    posted = postings(docs)
+    posted = postings(docs).persist(StorageLevel.MEMORY_AND_DISK)  # read by the gate, the frequencies and the scores
     ranked = candidates(posted, terms).join(bm25(posted, docs, terms), ["qid", "path"], "left")
     scored = ranked.join(terms.select("qid", "terms"), "qid").join(docs, "path").withColumn("score", round2(F.coalesce("bm25", F.lit(0.0)) + bonuses()))
     best = W.partitionBy("qid").orderBy(F.desc("score"), "path")
-    top = scored.where("score > 0").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    # texts stay behind until the few best are known; the sign of the score is tested behind the rank, so it is computed once
+    top = scored.select("qid", "path", "score").withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= limit) & (F.col("score") > 0))
+    shown = top.join(docs.select("path", "title", "body"), "path").join(terms.select("qid", "terms"), "qid")
     at = hit_position(F.lower("body"), F.col("terms"))
-    return top.select("qid", "rank", "path", "score", snippet(at).alias("snippet"), F.when(at["pos"].isNotNull(), section_at(F.col("body"), at["pos"])).alias("section"))
+    return shown.select("qid", "rank", "path", "score", snippet(at).alias("snippet"), F.when(at["pos"].isNotNull(), section_at(F.col("body"), at["pos"])).alias("section"))
 
 
 def hit_position(low: Column, terms: Column) -> Column:

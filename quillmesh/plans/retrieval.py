@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as se
-from ..session import table
+from ..session import spread, table
 
 ASKED = ["ledger archive", "cutover plan recovery", "config repo", "overview of the settlement", "premum ledgr", "journal", "scheduler outage report", "inventory inventory", "nothingmatchesthis", "ci deploy"]
 
@@ -19,7 +19,7 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return se.documents(table(spark, d, "wiki_pages"))
+    return se.documents(spread(table(spark, d, "wiki_pages"))).persist()
 
 
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
