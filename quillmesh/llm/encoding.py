@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ..session import spread
 
 #: The public split pattern of this vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -182,4 +183,4 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     kind = df.schema[id_col].dataType.simpleString()
     result = "n_tokens int" if lengths_only else "ids array<int>"
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {result}")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, {result}")

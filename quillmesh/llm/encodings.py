@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 MODEL_BUCKETS, PRIOR_BUCKETS = 1 << 18, 256
 ROUNDS = 4
@@ -258,7 +258,7 @@ def spans_of(records: DataFrame, id_col: str, text_col: str, field: str) -> Data
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), pa.array([bool(_WRECK.search(t)) for t in texts], pa.bool_())], [id_col, "bucket", "spans", "wrecked"]
             )
 
-    wanted = records.where(F.col(text_col).rlike(r"[^\x00-\x7f]"))
+    wanted = spread(records).where(F.col(text_col).rlike(r"[^\x00-\x7f]"))
     return wanted.select(id_col, _source_bucket(field).alias("bucket"), text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket int, spans array<string>, wrecked boolean")
 
 

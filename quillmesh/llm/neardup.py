@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .shingles import MIN_WORDS, Shingler, mix
 
 ROWS, BANDS = 3, 48
@@ -74,7 +74,7 @@ def fingerprints(texts: DataFrame, width: int = 3, min_words: int = MIN_WORDS, r
                 ["id", "class_key", "n", "bands", "sig"],
             )
 
-    return texts.select("id", "text").where("text is not null").mapInArrow(run, f"id {id_type}, class_key binary, n int, bands array<bigint>, sig binary")
+    return spread(texts.select("id", "text")).where("text is not null").mapInArrow(run, f"id {id_type}, class_key binary, n int, bands array<bigint>, sig binary")
 
 
 def shingle_sets(texts: DataFrame, width: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
