@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code, integrity, provenance, retrieval, telemetry, wiki
+from . import code, integrity, packages, provenance, retrieval, telemetry, wiki
 
 FLAGSHIP = "search_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-for _module in (retrieval, integrity, wiki, provenance, telemetry, code):
+for _module in (retrieval, integrity, wiki, provenance, telemetry, code, packages):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
