@@ -381,3 +381,26 @@ def keys_of(all_: DataFrame) -> DataFrame:
     by = columns[1].groupBy("table", "writer", "reader").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws(":", "column", "writer_variable", "reader_variable"))), ",").alias("c"))
     db2 = columns[0].join(by, ["table", "writer", "reader"], "left").select(F.lit("db2").alias("family"), F.concat_ws("|", "table", "writer", "reader", F.coalesce("c", F.lit(""))).alias("key"))
     return det.unionByName(inf).unionByName(bound).unionByName(db2)
+
+
+def coverage(all_: DataFrame) -> DataFrame:
+    """(family, indexed, yielding): how many sources could take part in a family and how many do."""
+    one = lambda family, indexed, yielding: indexed.agg(F.lit(family).alias("family"), F.count(F.lit(1)).alias("indexed")).join(yielding.agg(F.count(F.lit(1)).alias("yielding")))  # noqa: E731 - one row each
+    books = copybook_files(all_).select("copybook")
+    both = inferred(all_).select(F.explode(F.array("copybook_l", "copybook_r")).alias("copybook")).distinct()
+    callers = ft.calls(all_).where(F.size("args") > 0).select("file").distinct()
+    tables = ft.sql_statements(all_).select(F.explode("tables").alias("table")).distinct()
+    parts = [
+        one("deterministic", books, deterministic(all_).select("copybook").distinct()), one("inferred", books, both), one("call-bound", callers, call_boundaries(all_)[0].select("caller").distinct()),
+        one("db2", tables, db2_lineage(all_)[0].select("table").distinct()),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def diagnostics(all_: DataFrame) -> DataFrame:
+    """(family, kind, n) of everything that kept lineage from being drawn, the commonest first per family; kinds that do not occur have 0."""
+    kinds = {"call": ("unresolved-callee", "dynamic-call", "system-call", "arity-mismatch", "shape-mismatch", "caller-arg-not-top-level"), "db2": ("self-loop", "non-classifiable-op", "writer-only", "reader-only", "host-var-unresolved"), "field": ("parsed-zero-data-items",)}
+    spine = all_.sparkSession.createDataFrame([(f, k) for f, ks in kinds.items() for k in ks], "family string, kind string")
+    found = [call_boundaries(all_)[1].select(F.lit("call").alias("family"), "kind"), db2_lineage(all_)[2].select(F.lit("db2").alias("family"), "kind"), empty_copybooks(all_).select(F.lit("field").alias("family"), "kind")]
+    counted = reduce(DataFrame.unionByName, found).groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return spine.join(counted, ["family", "kind"], "left").fillna(0, ["n"])

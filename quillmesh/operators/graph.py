@@ -97,3 +97,21 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return out.join(into, "id", "full").select("id", F.coalesce("dependencies", none).alias("dependencies"), F.coalesce("dependents", none).alias("dependents"))
 
 
+
+
+def weakest_links(via: DataFrame) -> DataFrame:
+    """(id, depth, n_edges, certain): of the edges by which a vertex is reached, whether all are deterministic. `via` has a confidence."""
+    sure = F.col("confidence") == "deterministic"
+    return via.groupBy("id", "depth").agg(F.count(F.lit(1)).alias("n_edges"), F.bool_and(sure).alias("certain"))
+
+
+def overview(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(topic, name, n): vertices by kind and state, edges by kind, edges by confidence."""
+    state = F.when(F.col("resolved"), "resolved").otherwise("unresolved")
+    parts = [
+        vertices.groupBy(F.lit("vertices").alias("topic"), F.concat_ws(" ", "kind", state).alias("name")),
+        edges.groupBy(F.lit("edges").alias("topic"), F.col("kind").alias("name")),
+        edges.groupBy(F.lit("confidence").alias("topic"), F.col("confidence").alias("name")),
+    ]
+    counted = [p.agg(F.count(F.lit(1)).alias("n")) for p in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])

@@ -264,3 +264,20 @@ def inline_budget(ranked: DataFrame, budget: int) -> DataFrame:
 def gap_slug(query: Column) -> Column:
     """A page name for a query without results: its normal form in dashes, at most fifty characters."""
     return F.regexp_replace(F.substring(F.regexp_replace(normalize(query), r"[^a-z0-9]+", "-"), 1, 50), r"^-+|-+$", "")
+
+
+def embed(pages: DataFrame, encoder: Callable[[list[str]], list[list[float]]], model: str, most_chars: int = 2000) -> DataFrame:
+    """(path, model, embedding) by a given encoder of texts: title, tags and the first `most_chars` of the body, which is what such models read; vectors have length 1."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            v = np.asarray(encoder(b["text"].tolist()), float)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            yield pd.DataFrame({"path": b["path"], "model": model, "embedding": list((v / np.where(n > 0, n, 1)).astype("float32"))})
+
+    tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")
+    text = F.substring(F.concat_ws("\n", "title", tags, "content"), 1, most_chars)
+    return pages.select("path", text.alias("text")).mapInPandas(run, "path string, model string, embedding array<float>")

@@ -139,3 +139,14 @@ def test_graph_and_flow(load):
     assert {(r.src, r.dst, r.kind) for r in e.collect()} == {("program:MAIN", "program:SUB", "CALLS"), ("program:MAIN", "copybook:CPY1", "COPIES")}
     assert {("START-UP", "W1"), ("START-UP", "W2"), ("W1", "W2")} <= {(r.src, r.dst) for r in ln.procedure_flow(all_, "MAIN.cbl").collect()}
     assert [r.file for r in ln.empty_copybooks(load(EE__cpy="      * nothing\n", FF__cpy=item(1, "Z", "PIC X"))).collect()] == ["EE.cpy"]
+
+
+def test_overview_and_diagnostics(load):
+    from quillmesh.operators import graph as gr
+
+    all_ = load(MAIN__cbl=program("MAIN", item(1, "A", "PIC X"), "           CALL 'GONE' USING A.\n           CALL WS-X USING A."), SUB__cbl=program("SUB"))
+    v, e = ln.knowledge_graph(all_)
+    assert {(r.topic, r.name, r.n) for r in gr.overview(v, e).collect()} >= {("vertices", "program resolved", 2), ("vertices", "program unresolved", 2), ("edges", "CALLS", 2), ("confidence", "deterministic", 1)}
+    kinds = {r.kind: r.n for r in ln.diagnostics(all_).collect()}
+    assert kinds["unresolved-callee"] == kinds["dynamic-call"] == 1 and kinds["self-loop"] == 0 and len(kinds) == 12
+    assert {r.family: (r.indexed, r.yielding) for r in ln.coverage(all_).collect()}["call-bound"] == (1, 0)

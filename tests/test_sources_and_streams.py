@@ -199,3 +199,28 @@ def test_evaluation_and_plugins(spark):
         ev.expected_keys({"deterministic": [entry("R"), entry("R")]})
     assert json.dumps(ev.mermaid([("a", "b", "k")])) and '"a" -> "b"' in ev.dot([("a", "b", "k")])
     assert ft.summary(all_).count() == 3
+
+
+def test_ingest(spark, tmp_path):
+    from quillmesh.sources.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("# A\n" + "x\n" * 30 + "# B\ny")
+    (tmp_path / "in" / "b.html").write_text("<p>hello</p>")
+    (tmp_path / "in" / "c.docx").write_text("no zip")
+    (tmp_path / "in" / "d.bin").write_bytes(b"\0")
+    got = ingest(spark, str(tmp_path / "in"), spark.createDataFrame([("t/b.html",)], "path string"), "t", [str(tmp_path)], None, 50, 10)
+    assert sorted(r.path for r in got.added.collect()) == ["t/a.md", "t/c.docx", "t/d.bin"] and [r.path for r in got.known.collect()] == ["t/b.html"]
+    assert [(r.file, r.stage) for r in got.errors.collect()] == [("t/c.docx", "extract")]
+    assert sorted({r.file for r in got.chunks.collect()}) == ["t/a.md", "t/b.html"] and got.chunks.where("file = 't/a.md'").count() == 5
+    assert got.packs.count() == got.chunks.count()
+    with pytest.raises(ValueError):
+        ingest(spark, "/etc", spark.createDataFrame([], "path string"), "t", [str(tmp_path)])
+
+
+def test_embed(spark):
+    from quillmesh.operators.search import embed
+
+    df = spark.createDataFrame([("p", "T", ["x"], "abc"), ("q", None, None, None)], "path string, title string, tags array<string>, content string")
+    got = {r.path: r.embedding for r in embed(df, lambda ts: [[float(len(t)), 0.0] for t in ts], "m").collect()}
+    assert got["p"] == [1.0, 0.0] and got["q"] == [0.0, 0.0]
