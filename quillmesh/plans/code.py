@@ -22,7 +22,8 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
 def _facts(spark: SparkSession, d: str) -> DataFrame:
     # a listing without divisions is procedure text: it gets the headers it lacks, in the same columns
     head = "       IDENTIFICATION DIVISION.\n       PROCEDURE DIVISION.\n"
-    text = F.when(F.col("text").rlike("(?i)PROCEDURE +DIVISION"), F.col("text")).otherwise(F.concat(F.lit(head), "text"))
+    named = F.regexp_replace("text", r"(?i)(PROGRAM-ID\.[ ]+[A-Z0-9-]+\.)", "$1\n       PROCEDURE DIVISION.")
+    text = F.when(F.col("text").rlike("(?i)PROCEDURE +DIVISION"), F.col("text")).when(F.col("text").rlike(r"(?i)PROGRAM-ID\.[ ]+[A-Z0-9-]+\."), named).otherwise(F.concat(F.lit(head), "text"))
     return ft.facts(sources(spark, d).withColumn("text", text))
 
 
@@ -84,6 +85,10 @@ QUERIES = {
     f.__name__: f for f in (code_facts, code_calls, code_performs, code_uses, code_flows, code_relations, code_summary, code_callees, code_graph, code_impact, sql_table_names)
 }
 ORACLE = {
+    "code_callees": r"""with s as (select 'doc-' || doc_id || '.cbl' file, text from documents where replace(lower(trim(source)), '_', '-') = 'cobol-listing' and text is not null
+ union all select 'raw-' || raw_id, body from raw_docs where regexp_matches(lower(path), '\.(cbl|cpy)$') and body is not null union all select 'seg-' || seg_id, text from segments where regexp_matches(lower(file), '\.(cbl|cpy)$') and text is not null),
+ l as (select file, unnest(string_split(replace(text, chr(13), ''), chr(10))) line from s), c as (select file, unnest(regexp_extract_all(string_split(line, '*>')[1], '\bCALL ' || chr(39) || '([^' || chr(39) || ']*)' || chr(39), 1)) target from l where substr(line, 7, 1) not in ('*', '/', 'D', 'd'))
+ select target, count(*) n, count(distinct file) files from c group by 1""",
     "sql_table_names": r"""with t as (select p_partkey, 'SELECT A INTO :B FROM ' || regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g') || ' JOIN T' || p_size || ' ON X = Y' t from part where p_partkey % 7 <> 0)
  select p_partkey, list_sort(list_distinct(regexp_extract_all(t, '\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)', 1))) tables from t""",
 }

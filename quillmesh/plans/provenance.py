@@ -9,6 +9,7 @@ from ..operators import claims as cl
 from ..operators import extract as ex
 from ..operators import raw as rw
 from ..session import table
+from .wiki import _LINES
 
 
 def raw_versions(spark: SparkSession, d: str) -> DataFrame:
@@ -212,6 +213,12 @@ ORACLE = {
  t as (select file, string_agg(p, chr(10) || chr(10) order by seg_no, seg_id) t from p where p is not null group by 1) select file, sha256(t) sha, length(t) n from t""",
     "extract_topics": r"""select raw_id, case when path is not null and path <> '' and not contains(path, '..') and not starts_with(path, '/') and not starts_with(path, chr(92)) then
  regexp_replace(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9_\-/]', '-', 'g'), '/{2,}', '/', 'g'), '^/|/$', '', 'g') end topic from raw_docs""",
+    "extract_ranges": r"""with t as (select seg_id, page + 4 total, (['1-3,7-10', '2', '5-2', 'x,3-', ' 4 - 6 ,9', '0,1', '30-40', '2,2-3', ''])[page % 9 + 1] txt from segments where page is not null),
+ p as (select *, list_filter(string_split(txt, ','), lambda p: regexp_matches(p, '^\s*\d{1,9}(\s*-\s*\d{1,9})?\s*$')) ps from t)
+ select seg_id, list_sort(list_distinct(flatten(list_transform(ps, lambda p: range(greatest(1, regexp_extract(p, '^\s*(\d+)', 1)::int) - 1,
+ least(total, case when regexp_extract(p, '-\s*(\d+)\s*$', 1) <> '' then regexp_extract(p, '-\s*(\d+)\s*$', 1)::int else regexp_extract(p, '^\s*(\d+)', 1)::int end))))))::int[] pages from p""",
+    "extract_semantic": f"""with {_LINES}, f as (select *, count(*) over (partition by path) n from sections where trim(content) <> '')
+ select path, pos part, content text from f where n > 1 union all select path, 0, content from wiki_pages where content is not null and path not in (select path from f where n > 1)""",
     "claim_dates": rf"""with x as (select path page, regexp_extract_all(content, '{cl.DATE_CLAIM}') l from wiki_pages where not {_SYS}), e as (select page, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) excerpt from x)
  select page, pos, trim(lower(regexp_replace(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?', 'YEAR', 'g'))) "key", excerpt, substr(regexp_extract(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?'), 1, 4)::double "value", regexp_extract(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?') raw_value from e""",
     "claim_contradictions": r"""with x as (select path page, regexp_extract_all(content, 'the \w+ of step \d+') l from wiki_pages), e as (select page, generate_subscripts(l, 1) pos, unnest(l) excerpt from x),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as gr
 from ..operators import telemetry as te
 from ..session import table
+from .wiki import _EDGES
 
 NOW = 1706572800000000  # 2024-01-30
 DAY = te.DAY
@@ -154,6 +155,7 @@ ORACLE = {
     "graph_impact_edges": f"with recursive {_IMP} select distinct a.id, a.depth, e.t dst, kind from lv a join e on e.s = a.id join lv b on b.id = e.t and b.depth = a.depth - 1 where a.depth <= 2",
     "graph_neighbours": f"""with {_E}, x as (select * from e where kind <> 'orders-customer'), o as (select s id, list_sort(list_distinct(list(t))) l from x group by 1), i as (select t id, list_sort(list_distinct(list(s))) l from x group by 1)
  select coalesce(o.id, i.id) id, coalesce(len(o.l), 0)::int n_dependencies, coalesce(len(i.l), 0)::int n_dependents, i.l[1] first_dependent from o full join i on o.id = i.id""",
+    "graph_cascade": f"with {_EDGES} select source id from edges where not broken union select target from edges where not broken",
     "graph_writer_reader": """with w as (select distinct l_partkey part, s_nationkey w from lineitem join supplier on l_suppkey = s_suppkey), r as (select distinct l_partkey part, c_nationkey r from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)
  select w, r, count(*) n_tables from w join r using (part) where w <> r group by 1, 2""",
 }
