@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +49,27 @@ def packs(chunked: DataFrame, most_lines: int) -> DataFrame:
     """(topic, file, seg_id, chunk_no, pack_no): in order of file, segment and chunk a pack is closed before it would grow beyond `most_lines`.
 
     A sum with resets is no window frame, so each file's sizes are folded in order; a
-    pack never spans files. `chunked`: topic, file, seg_no, seg_id, chunk_no, n_lines.
+    pack never spans files. The sorted sizes stream through the fold, which remembers one
+    running sum, however large a file is; texts stay behind. `chunked`: topic, file,
+    seg_no, seg_id, chunk_no, n_lines.
     """
-    items = F.sort_array(F.collect_list(F.struct("seg_no", "seg_id", "chunk_no", "n_lines")))
-    start = F.struct(F.lit(1).alias("pack"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["used"] + x["n_lines"] > most_lines) & (a["used"] > 0)
-        pack = F.when(full, a["pack"] + 1).otherwise(a["pack"])
-        return F.struct(pack.alias("pack"), F.when(full, x["n_lines"]).otherwise(a["used"] + x["n_lines"]).alias("used"), F.concat(a["out"], F.array(pack)).alias("out"))
 
-    folded = chunked.groupBy("topic", "file").agg(items.alias("items")).withColumn("packs", F.aggregate("items", start, step)["out"])
-    each = folded.select("topic", "file", F.explode(F.arrays_zip("items", "packs")).alias("x"))
-    return each.select("topic", "file", "x.items.seg_id", "x.items.chunk_no", F.col("x.packs").alias("pack_no"))
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, pack, used = None, 1, 0
+        for b in batches:
+            numbers = []
+            for topic, file, n in zip(b["topic"], b["file"], b["n_lines"]):
+                if (topic, file) != key:
+                    key, pack, used = (topic, file), 1, 0
+                elif used + n > most_lines and used > 0:
+                    pack, used = pack + 1, 0
+                used += n
+                numbers.append(pack)
+            yield pd.DataFrame({"topic": b["topic"], "file": b["file"], "seg_id": b["seg_id"], "chunk_no": b["chunk_no"], "pack_no": numbers})
+
+    order = ["topic", "file", "seg_no", "seg_id", "chunk_no"]
+    sizes = chunked.select(*order, "n_lines").repartition("topic", "file").sortWithinPartitions(*order)
+    return sizes.mapInPandas(fold, "topic string, file string, seg_id long, chunk_no int, pack_no int")
 
 
 def pack_report(packed: DataFrame) -> DataFrame:
