@@ -4,7 +4,9 @@ The latent variable of a record is the chain (codec it was read with, codec it w
 written in), or none. Observations are its spans: blank-delimited runs with a character
 outside ASCII. Undoing a chain on a span gives a candidate; the evidence is the ratio of
 the likelihoods of candidate and span under a character trigram model. The prior of each
-chain is held per source and field, so weak evidence of single records pools.
+chain is held per source and field, so weak evidence of single records pools. The share
+of a record's spans that are garbled is latent too, so any number of correct spans cannot
+outvote a garbled sentence among them; the model is fitted at one middle share.
 
 E-step: posterior of every chain per record. M-step: expected trigram counts of the
 intended text and expected chains per source and field. Spans are taken from whole texts,
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,8 +40,10 @@ from ..session import cut, spread
 
 MODEL_BUCKETS, PRIOR_BUCKETS = 1 << 18, 256
 ROUNDS = 4
-#: Share of the spans of a garbled record that are expected to be garbled.
-SHARE = 0.5
+#: Shares of garbled spans a garbled record may have, equally likely beforehand: which one holds is latent per record and chain.
+SHARES = np.array([0.003, 0.015, 0.06, 0.25, 0.5, 0.9])
+#: While the model is fitted only records garbled by about half teach it: at low shares a few correct words could turn into their garbled form round by round.
+FIT_SHARES = np.array([0.5])
 #: Prior weight of "none" and of all chains together, as pseudo records of each source and field.
 PRIOR_CLEAN, PRIOR_CHAINS = 12.0, 0.6
 #: A candidate must be more likely than its span by this factor (in logs) to stand in the repaired text.
@@ -212,8 +216,8 @@ def _weight_at_first(span: str) -> float:
 class Judge:
     """Posterior of the chains of a record."""
 
-    def __init__(self, model: Model, prior: np.ndarray):
-        self.model, self.prior, self.known = model, np.log(prior), {}
+    def __init__(self, model: Model, prior: np.ndarray, shares: np.ndarray = SHARES):
+        self.model, self.prior, self.shares, self.known, self.terms = model, np.log(prior), shares, {}, {}
 
     def ratios(self, span: str) -> tuple[tuple[int, str, float], ...]:
         """(chain, candidate, log likelihood ratio) for the chains that change the span."""
@@ -221,6 +225,7 @@ class Judge:
         if r is None:
             if len(self.known) > 200_000:
                 self.known.clear()
+                self.terms.clear()
             own = None
             out = []
             for i, new in candidates(span):
@@ -229,16 +234,32 @@ class Judge:
             r = self.known[span] = tuple(out)
         return r
 
-    def posterior(self, spans: list[str], source: int) -> dict[int, float]:
-        score: dict[int, float] = defaultdict(float)
-        for s in spans:
-            for i, _, d in self.ratios(s):
-                score[i] += math.log(1 - SHARE + SHARE * math.exp(min(d, 60.0)))
+    def evidence(self, spans: list[str]) -> np.ndarray:
+        """Log likelihood ratio of each chain (row) under each share (column), over all spans."""
+        score = np.zeros((len(NAMES), len(self.shares)))
+        for s, n in Counter(spans).items():
+            ratios = self.ratios(s)
+            if not ratios:
+                continue
+            t = self.terms.get(s)
+            if t is None:
+                odds = np.exp(np.minimum([d for _, _, d in ratios], 60.0))
+                t = self.terms[s] = np.array([i for i, _, _ in ratios]), np.log(1 - self.shares + odds[:, None] * self.shares)
+            score[t[0]] += n * t[1]
+        return score
+
+    def posterior(self, spans: list[str], source: int) -> tuple[dict[int, float], dict[int, float]]:
+        """(probability, log odds that a span is garbled) of the chains that the spans speak for; 0 is none."""
+        score = self.evidence(spans)
+        top = score.max(axis=1)
+        by_share = np.exp(score - top[:, None])
+        whole = top + np.log(by_share.mean(axis=1))
         prior = self.prior[source]
-        logs = {0: float(prior[0])} | {i: v + float(prior[i]) for i, v in score.items() if v > 0}
-        top = max(logs.values())
-        total = sum(math.exp(v - top) for v in logs.values())
-        return {i: math.exp(v - top) / total for i, v in logs.items()}
+        logs = {0: float(prior[0])} | {i: float(whole[i] + prior[i]) for i in np.flatnonzero(whole > 0).tolist()}
+        best = max(logs.values())
+        total = sum(math.exp(v - best) for v in logs.values())
+        share = by_share @ self.shares / by_share.sum(axis=1)
+        return {i: math.exp(v - best) / total for i, v in logs.items()}, {i: math.log(share[i] / (1 - share[i])) for i in logs if i}
 
 
 def _source_bucket(field: str):  # noqa: ANN202
@@ -267,7 +288,7 @@ def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tu
     shared = spans.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = None if shared.value is None else Judge(Model(shared.value[0]), shared.value[1])
+        by = None if shared.value is None else Judge(Model(shared.value[0]), shared.value[1], FIT_SHARES)
         counts: dict[int, float] = defaultdict(float)
         chains: dict[int, float] = defaultdict(float)
         texts: dict[str, float] = defaultdict(float)
@@ -277,7 +298,7 @@ def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tu
                     for s in found:
                         texts[s] += _weight_at_first(s)
                 else:
-                    post = by.posterior(found, bucket)
+                    post, odds = by.posterior(found, bucket)
                     for i, p in post.items():
                         chains[MODEL_BUCKETS + bucket * len(NAMES) + i] += p
                     for s in found:
@@ -285,7 +306,7 @@ def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tu
                             rest = 1.0
                             for i, new, d in ratios:
                                 if (p := post.get(i, 0.0)) > 1e-3:
-                                    p *= 1 / (1 + math.exp(-max(min(d, 60.0), -60.0)))
+                                    p *= 1 / (1 + math.exp(-max(min(d + odds[i], 60.0), -60.0)))
                                     texts[new] += p
                                     rest -= p
                             texts[s] += max(rest, 0.0) * (not _WRECK.search(s))
@@ -343,7 +364,7 @@ def judge_records(spans: DataFrame, fitted: tuple[np.ndarray, np.ndarray], id_co
         for batch in batches:
             where, chain, p = [], [], []
             for i, (bucket, found, wrecked) in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
-                post = judge.posterior(found, bucket)
+                post, _ = judge.posterior(found, bucket)
                 garbled = 1 - post.get(0, 0.0)
                 if wrecked or garbled > 0.5:
                     best = max((v, k) for k, v in post.items() if k or len(post) == 1)[1]
@@ -378,10 +399,11 @@ def repaired(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             restored, whole = [], []
             for text, chain in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist()):
                 best = number[chain]
+                least = max(MARGIN, -judge.posterior(_SPAN.findall(text), 0)[1].get(best, 0.0))
 
-                def mend(m: re.Match, best: int = best) -> str:
+                def mend(m: re.Match, best: int = best, least: float = least) -> str:
                     found = [(new, d) for i, new, d in judge.ratios(m.group()) if i == best]
-                    return found[0][0] if found and found[0][1] > MARGIN else m.group()
+                    return found[0][0] if found and found[0][1] > least else m.group()
 
                 new = _SPAN.sub(mend, text)
                 restored.append(new)

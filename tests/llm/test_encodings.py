@@ -81,3 +81,19 @@ def test_candidates_never_fail(text, raw):
     for t in (text, raw.decode("cp437"), raw.decode("latin_1"), raw.decode("mac_roman")):
         for _, new in encodings.candidates(t):
             new.encode()
+
+
+def test_a_garbled_sentence_in_a_long_correct_text(spark):
+    rng = random.Random(11)
+    rows, _ = corpus()
+    long = {}
+    for k, (lang, read, written) in enumerate([("de", "cp1252", "mac_roman"), ("fr", "cp1252", "cp437"), ("ru", "cp1251", "koi8_r")] * 4):
+        part = " ".join(rng.choice([w for w in WORDS[lang] if not w.isascii()]) for _ in range(12))
+        wrong = part.encode(written, "ignore").decode(read, "ignore")
+        clean = [" ".join(rng.choice(WORDS[lang]) for _ in range(60)) for _ in range(8)]
+        long[5000 + k] = " ".join([*clean[:4], part, *clean[4:]])
+        rows.append((5000 + k, " ".join([*clean[:4], wrong, *clean[4:]]), "a", 1))
+        rows.append((6000 + k, " ".join([*clean, part]), "a", 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, posterior int")
+    found = {r.doc_id for r in encodings.garbled(df).collect()}
+    assert long.keys() <= found and not {i for i in found if i >= 6000}
