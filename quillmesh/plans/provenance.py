@@ -125,6 +125,12 @@ def claim_contradictions(spark: SparkSession, d: str) -> DataFrame:
     return cl.contradictions(_step_claims(spark, d), table(spark, d, "wiki_pages"))
 
 
+def claim_contradictions_all(spark: SparkSession, d: str) -> DataFrame:
+    """Contradictions of all date and number claims; without SQL, as number claims need match offsets."""
+    pages = table(spark, d, "wiki_pages")
+    return cl.contradictions(cl.all_claims(pages), pages)
+
+
 def page_types(spark: SparkSession, d: str) -> DataFrame:
     return cl.classify(table(spark, d, "wiki_pages").withColumn("type", F.when(F.col("page_id") % 2 == 0, F.col("type"))))
 
@@ -186,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         raw_versions, raw_next_versions, raw_mime, raw_uncovered, raw_coverage, raw_coverage_tag, raw_uncovered_largest, raw_verify, raw_hash, raw_line_read, raw_text_read, extract_html, extract_ranges,
-        extract_chunks, extract_packs, extract_pack_report, extract_flat, extract_topics, extract_semantic, claim_dates, claim_numbers, claim_contradictions, page_types, page_enriched, page_routes,
+        extract_chunks, extract_packs, extract_pack_report, extract_flat, extract_topics, extract_semantic, claim_dates, claim_numbers, claim_contradictions, claim_contradictions_all, page_types, page_enriched, page_routes,
         page_write_kinds, page_auto_links,
     )
 }
