@@ -218,13 +218,16 @@ def glob(path: Column, pattern: str) -> Column:
 # ---- lint ----------------------------------------------------------------------------
 
 
-def _issue(rows: DataFrame, severity: str, category: str, message: Column | str, suggestion: Column | str, fixable: bool = False) -> DataFrame:
+def issue(rows: DataFrame, severity: Column | str, category: str, message: Column | str, suggestion: Column | str, fixable: bool = False) -> DataFrame:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
-    return rows.select(F.lit(severity).alias("severity"), "page", text(message).alias("message"), text(suggestion).alias("suggestion"), F.lit(fixable).alias("auto_fixable"), F.lit(category).alias("category"))
+    return rows.select(text(severity).alias("severity"), "page", text(message).alias("message"), text(suggestion).alias("suggestion"), F.lit(fixable).alias("auto_fixable"), F.lit(category).alias("category"))
 
 
 def lint(pages: DataFrame, now_micros: int, stale_days: int = 30) -> DataFrame:
-    """All page rules as one table of issues: severity, page, message, suggestion, auto_fixable, category."""
+    """The seven rules of single pages as one table of issues: severity, page, message, suggestion, auto_fixable, category.
+
+    `lint.lint_all` adds contradictions, raw integrity and the pages a broken link may have meant.
+    """
     p = pages.withColumn("page", F.col("path"))
     plain = ~is_system(F.col("path"))
     missing = p.where(F.coalesce(F.size("frontmatter"), F.lit(0)) <= 0)
@@ -237,13 +240,13 @@ def lint(pages: DataFrame, now_micros: int, stale_days: int = 30) -> DataFrame:
     age = F.floor((F.lit(now_micros) - iso_micros(F.col("updated"))) / DAY)
     stale = p.withColumn("age", age).where(F.col("age") > stale_days)
     parts = [
-        _issue(missing, "warning", "structure", "Missing YAML frontmatter", "Add frontmatter with title, type, tags, and sources", True),
-        _issue(untitled, "warning", "structure", "Missing or auto-generated title", "Add a meaningful title in frontmatter"),
-        _issue(orphans, "warning", "orphan", "Orphan page", F.concat(F.lit("Add [["), slug_of(F.col("page")), F.lit("]] to related pages or index.md")), True),
-        _issue(broken, "error", "broken-link", F.concat(F.lit("Broken link: [["), "link", F.lit("]]")), F.concat(F.lit("Create "), "link", F.lit(".md or fix the link"))),
-        _issue(unsourced, "info", "missing-source", "No sources listed", "Add sources to frontmatter"),
-        _issue(lost, "error", "integrity", F.concat(F.lit("Synthesis source missing: "), "src"), "Review and update"),
-        _issue(stale, "info", "stale", F.concat(F.lit("Stale content: "), F.col("age").cast("string"), F.lit(" days")), "Review and update if needed"),
+        issue(missing, "warning", "structure", "Missing YAML frontmatter", "Add frontmatter with title, type, tags, and sources", True),
+        issue(untitled, "warning", "structure", "Missing or auto-generated title", "Add a meaningful title in frontmatter"),
+        issue(orphans, "warning", "orphan", "Orphan page", F.concat(F.lit("Add [["), slug_of(F.col("page")), F.lit("]] to related pages or index.md")), True),
+        issue(broken, "error", "broken-link", F.concat(F.lit("Broken link: [["), "link", F.lit("]]")), F.concat(F.lit("Create "), "link", F.lit(".md or fix the link"))),
+        issue(unsourced, "info", "missing-source", "No sources listed", "Add sources to frontmatter"),
+        issue(lost, "error", "integrity", F.concat(F.lit("Synthesis source missing: "), "src"), "Review and update"),
+        issue(stale, "info", "stale", F.concat(F.lit("Stale content: "), F.col("age").cast("string"), F.lit(" days")), "Review and update if needed"),
     ]
     out = parts[0]
     for part in parts[1:]:

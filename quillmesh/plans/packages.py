@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lint as li
 from ..operators import package as pk
 from ..operators import pages as pg
-from ..operators import search as se
 from ..session import spread, table
 from ..streaming import streams as st
+from .provenance import raw_state
 from .wiki import _BROKEN, NOW
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -27,9 +28,12 @@ def package_conformance(spark: SparkSession, d: str) -> DataFrame:
 
 def lint_suggestions(spark: SparkSession, d: str) -> DataFrame:
     """The three pages that a broken link may have meant."""
-    pages = spread(table(spark, d, "wiki_pages"))
-    links = pg.broken_links(pages).select(F.col("link").alias("qid"), F.replace(F.regexp_replace("link", r"\.md$", ""), F.lit("-"), F.lit(" ")).alias("query")).distinct()
-    return se.search(se.documents(pages).persist(), links, 3).select(F.col("qid").alias("link"), "rank", "path", "score")
+    return li.suggested(spread(table(spark, d, "wiki_pages")))
+
+
+def page_lint_all(spark: SparkSession, d: str) -> DataFrame:
+    """All nine rules; without SQL, as number claims have none."""
+    return li.lint_all(table(spark, d, "wiki_pages"), *raw_state(spark, d), NOW)
 
 
 def synthesis_context(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +68,7 @@ inv as (select count(*) pages, count(*) filter (sys) system_pages, count(*) filt
  count(*) filter (not sys and old) stale, (select count(*) from raw_docs) raws, (select count(*) from raw_docs where sha256 is null) raws_without_hash, (select count(*) from broken) broken_links from w)"""
 _WINDOWS = "select strftime(make_timestamp(epoch_us(ts) // 604800000000 * 604800000000), '%Y-%m-%d') \"start\", event_type, count(*) n from events group by 1, 2"
 
-QUERIES = {f.__name__: f for f in (package_inventory, package_conformance, lint_suggestions, synthesis_context, events_windows, stream_windows)}
+QUERIES = {f.__name__: f for f in (package_inventory, package_conformance, lint_suggestions, page_lint_all, synthesis_context, events_windows, stream_windows)}
 ORACLE = {
     "package_inventory": f"with {_INV} select * from inv",
     "package_conformance": f"with {_INV}, c as (select 'error' severity, 'unsupported' kind, unsupported n from inv union all select 'warning', 'broken_links', broken_links from inv union all select 'error', 'raws_without_hash', raws_without_hash from inv union all select 'info', 'stale', stale from inv) select * from c where n > 0",

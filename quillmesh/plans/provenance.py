@@ -40,8 +40,8 @@ def raw_uncovered_largest(spark: SparkSession, d: str) -> DataFrame:
     return rw.uncovered_page(table(spark, d, "raw_docs"), table(spark, d, "wiki_pages"), "largest", 50)
 
 
-def raw_verify(spark: SparkSession, d: str) -> DataFrame:
-    """Integrity of the bodies against a sidecar hash of which every seventh is wrong, every fifth missing, every third cached."""
+def raw_state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(files, cache): the bodies with a sidecar hash of which every seventh is wrong, every fifth missing, every third cached."""
     r = table(spark, d, "raw_docs").where("body is not null")
     n = F.col("raw_id")
     good = F.sha2(F.col("body").cast("binary"), 256)
@@ -50,7 +50,12 @@ def raw_verify(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 5 != 0, 2.0).alias("meta_mtime"), F.when(n % 7 == 0, F.lit("0")).otherwise(good).alias("sha256"),
     )
     cache = r.where("raw_id % 3 = 0").select(F.col("raw_id").cast("string").alias("path"), F.lit(1.0).alias("file_mtime"), F.col("size").alias("file_size"), F.lit(2.0).alias("meta_mtime"), F.lit("ok").alias("status"))
-    return rw.verify(files, cache)
+    return files, cache
+
+
+def raw_verify(spark: SparkSession, d: str) -> DataFrame:
+    """Integrity of the bodies against their sidecar hashes."""
+    return rw.verify(*raw_state(spark, d))
 
 
 def raw_hash(spark: SparkSession, d: str) -> DataFrame:

@@ -103,3 +103,17 @@ def test_graph(spark):
     assert got == {"program:A": ("program:A", False), "b": ("program:B", False), "A": (None, True), "zz": (None, False)}
     chain = spark.createDataFrame([("a", "b"), ("x", "x")], "src string, dst string")
     assert sorted(r.id for r in gr.cascade_orphans(spark.createDataFrame([("a",), ("b",), ("x",), ("y",)], "id string"), chain).collect()) == ["a", "b"]
+
+
+def test_lint_all_has_contradictions_raw_integrity_and_suggestions(spark):
+    from quillmesh.operators import lint as li
+
+    rows = frame(
+        spark, page("a.md", "released in 2019", links=["b", "step-wrong"], tags=["t"]), page("b.md", "released in 2021", links=["a"], tags=["t"]), page("step-count.md", "the step count"),
+    )
+    files = spark.createDataFrame([("x", b"x", 1.0, 1, 1.0, "0"), ("y", b"y", 1.0, 1, None, None)], "path string, content binary, mtime double, size long, meta_mtime double, sha256 string")
+    cache = spark.createDataFrame([], "path string, file_mtime double, file_size long, meta_mtime double, status string")
+    got = {(r.severity, r.page, r.category): r for r in li.lint_all(rows, files, cache, 1_700_000_000_000_000).collect()}
+    assert {("warning", "a.md", "contradiction"), ("error", "raw/x", "integrity"), ("warning", "raw/y", "integrity")} <= got.keys()
+    assert got["warning", "a.md", "contradiction"].message == "Contradiction with [[b]]: released in year"
+    assert got["error", "a.md", "broken-link"].suggestion.startswith("Did you mean: step-count.md")
