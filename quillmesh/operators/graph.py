@@ -99,6 +99,14 @@ def neighbours(edges: DataFrame) -> DataFrame:
 
 
 
+def neighbour_counts(edges: DataFrame) -> DataFrame:
+    """(id, n_dependencies, n_dependents, first_dependent) of each vertex; as `neighbours`, but no list of a hub is ever held."""
+    pairs = edges.select("src", "dst").distinct()
+    out = pairs.groupBy(F.col("src").alias("id")).agg(F.count("dst").cast("int").alias("n_dependencies"))
+    into = pairs.groupBy(F.col("dst").alias("id")).agg(F.count("src").cast("int").alias("n_dependents"), F.min("src").alias("first_dependent"))
+    return out.join(into, "id", "full").select("id", F.coalesce("n_dependencies", F.lit(0)).alias("n_dependencies"), F.coalesce("n_dependents", F.lit(0)).alias("n_dependents"), "first_dependent")
+
+
 def weakest_links(via: DataFrame) -> DataFrame:
     """(id, depth, n_edges, certain): of the edges by which a vertex is reached, whether all are deterministic. `via` has a confidence."""
     sure = F.col("confidence") == "deterministic"

@@ -97,6 +97,11 @@ def graph_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return n.select("id", F.size("dependencies").alias("n_dependencies"), F.size("dependents").alias("n_dependents"), F.try_element_at("dependents", F.lit(1)).alias("first_dependent"))
 
 
+def graph_neighbours_all(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours over all edges, orders included."""
+    return gr.neighbour_counts(edges(spark, d))
+
+
 def graph_cascade(spark: SparkSession, d: str) -> DataFrame:
     """Link graph of the pages without those that have no neighbour."""
     from ..operators import pages as pg
@@ -129,7 +134,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         events_in_window, events_weekly, events_trust, events_last_week, events_readiness, events_transitions, events_rotated, events_scores, page_class_counts, graph_impact, graph_impact_edges,
-        graph_neighbours, graph_cascade, graph_writer_reader,
+        graph_neighbours, graph_neighbours_all, graph_cascade, graph_writer_reader,
     )
 }
 ORACLE = {
@@ -155,6 +160,8 @@ ORACLE = {
     "graph_impact_edges": f"with recursive {_IMP} select distinct a.id, a.depth, e.t dst, kind from lv a join e on e.s = a.id join lv b on b.id = e.t and b.depth = a.depth - 1 where a.depth <= 2",
     "graph_neighbours": f"""with {_E}, x as (select * from e where kind <> 'orders-customer'), o as (select s id, list_sort(list_distinct(list(t))) l from x group by 1), i as (select t id, list_sort(list_distinct(list(s))) l from x group by 1)
  select coalesce(o.id, i.id) id, coalesce(len(o.l), 0)::int n_dependencies, coalesce(len(i.l), 0)::int n_dependents, i.l[1] first_dependent from o full join i on o.id = i.id""",
+    "graph_neighbours_all": f"""with {_E}, x as (select distinct s, t from e), o as (select s id, count(*) n from x group by 1), i as (select t id, count(*) n, min(s) f from x group by 1)
+ select coalesce(o.id, i.id) id, coalesce(o.n, 0)::int n_dependencies, coalesce(i.n, 0)::int n_dependents, f first_dependent from o full join i on o.id = i.id""",
     "graph_cascade": f"with {_EDGES} select source id from edges where not broken union select target from edges where not broken",
     "graph_writer_reader": """with w as (select distinct l_partkey part, s_nationkey w from lineitem join supplier on l_suppkey = s_suppkey), r as (select distinct l_partkey part, c_nationkey r from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey)
  select w, r, count(*) n_tables from w join r using (part) where w <> r group by 1, 2""",

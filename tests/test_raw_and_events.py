@@ -129,3 +129,16 @@ def test_contradictions_of_all_claims_equal_pairing_by_hand(spark, tmp_path):
     want = {("released in year", "a.md", "b.md", "warning"), ("? count rows", "e.md", "f.md", "error"), ("latency: ? s", "c.md", "d.md", "error")}
     # a and b have more text before the number, so their keys agree with each other only, at equal values
     assert got == want
+
+
+def test_neighbours_over_all_edges_equal_the_lists(spark, tmp_path):
+    from quillmesh.operators import graph as gr
+    from quillmesh.plans import telemetry as tq
+
+    tables = {"nation": ("n_nationkey int, n_regionkey int", [(1, 1)]), "customer": ("c_custkey int, c_nationkey int", [(5, 1), (6, 1)]), "supplier": ("s_suppkey int, s_nationkey int", [(2, 1)]), "orders": ("o_orderkey int, o_custkey int", [(i, 5) for i in (9, 8, 7, 7)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r.id: (r.n_dependencies, r.n_dependents, r.first_dependent) for r in tq.graph_neighbours_all(spark, str(tmp_path)).collect()}
+    lists = gr.neighbours(tq.edges(spark, str(tmp_path))).collect()
+    assert got == {r.id: (len(r.dependencies), len(r.dependents), r.dependents[0] if r.dependents else None) for r in lists}
+    assert got["customer:5"] == (1, 3, "orders:7") and got["orders:9"] == (1, 0, None)
