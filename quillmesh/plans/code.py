@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..cobol import facts as ft
 from ..cobol import lineage as ln
+from ..cobol import reading as rd
 from ..operators import graph as gr
-from ..session import cut, table
+from ..session import cut, spread, table
 
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
@@ -81,8 +84,28 @@ def sql_table_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", names.alias("tables"))
 
 
+#: Statement forms, with {0} the brand and {1} the size as names.
+SQL_FORMS = (
+    "SELECT A INTO :B FROM {0} JOIN T{1} ON X = Y", "UPDATE {0} SET A = :B WHERE C IN (SELECT C FROM T{1})", "INSERT INTO S . {0} (A) SELECT A FROM T{1}", "merge into {0} using T{1} on A = B", "DELETE FROM S.{0}", "OPEN C{1}",
+)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _sql_tables(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else rd.sql_tables(t))
+
+
+def sql_table_names_all(spark: SparkSession, d: str) -> DataFrame:
+    """Tables that the reader of SQL statements finds in every statement form made of every row of the part table."""
+    name, size = F.regexp_replace(F.upper("p_brand"), "[^A-Z0-9]", "_"), F.col("p_size").cast("string")
+    forms = F.array(*[F.replace(F.replace(F.lit(f), F.lit("{0}"), name), F.lit("{1}"), size) for f in SQL_FORMS])
+    rows = spread(table(spark, d, "part").select("p_partkey", F.posexplode(forms).alias("form", "text")))
+    return rows.select("p_partkey", "form", _sql_tables("text").alias("tables"))
+
+
+_FORMS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(SQL_FORMS))
 QUERIES = {
-    f.__name__: f for f in (code_facts, code_calls, code_performs, code_uses, code_flows, code_relations, code_summary, code_callees, code_graph, code_impact, sql_table_names)
+    f.__name__: f for f in (code_facts, code_calls, code_performs, code_uses, code_flows, code_relations, code_summary, code_callees, code_graph, code_impact, sql_table_names, sql_table_names_all)
 }
 ORACLE = {
     "code_callees": r"""with s as (select 'doc-' || doc_id || '.cbl' file, text from documents where replace(lower(trim(source)), '_', '-') = 'cobol-listing' and text is not null
@@ -91,4 +114,6 @@ ORACLE = {
  select target, count(*) n, count(distinct file) files from c group by 1""",
     "sql_table_names": r"""with t as (select p_partkey, 'SELECT A INTO :B FROM ' || regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g') || ' JOIN T' || p_size || ' ON X = Y' t from part where p_partkey % 7 <> 0)
  select p_partkey, list_sort(list_distinct(regexp_extract_all(t, '\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)', 1))) tables from t""",
+    "sql_table_names_all": rf"""with f(form, t) as (values {_FORMS}), t as (select p_partkey, form::int form, upper(replace(replace(t, '{{0}}', regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g')), '{{1}}', p_size::varchar)) t from part, f)
+ select p_partkey, form, list_sort(list_distinct(regexp_extract_all(regexp_replace(t, '([A-Z0-9_-])\s*\.\s*([A-Z0-9_-])', '\1.\2', 'g'), '\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)', 1))) tables from t""",
 }

@@ -150,3 +150,12 @@ def test_overview_and_diagnostics(load):
     kinds = {r.kind: r.n for r in ln.diagnostics(all_).collect()}
     assert kinds["unresolved-callee"] == kinds["dynamic-call"] == 1 and kinds["self-loop"] == 0 and len(kinds) == 12
     assert {r.family: (r.indexed, r.yielding) for r in ln.coverage(all_).collect()}["call-bound"] == (1, 0)
+
+
+def test_sql_tables_over_all_rows_and_forms(spark, tmp_path):
+    from quillmesh.plans import code
+
+    spark.createDataFrame([(k, "Brand#1", k) for k in (6, 7, 14)], "p_partkey long, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.p_partkey, r.form): r.tables for r in code.sql_table_names_all(spark, str(tmp_path)).collect()}
+    assert len(got) == 3 * len(code.SQL_FORMS)
+    assert [got[7, i] for i in range(6)] == [["BRAND_1", "T7"], ["BRAND_1", "T7"], ["S.BRAND_1", "T7"], ["BRAND_1"], ["S.BRAND_1"], []]
