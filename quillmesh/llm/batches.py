@@ -1,12 +1,12 @@
-"""Duplicates of new batches against all accepted history, through a pivot-distance table.
+"""Duplicates of new batches against all accepted history, by prefix filtering of shingle sets with a size bound.
 
 Documents are shingle sets under the metric |A xor B| (a true metric; the Jaccard
 similarity t is reached exactly if |A xor B| <= (1-t)/(1+t) (|A|+|B|)). The fixed pivots
 are the empty set and one singleton {h} per shingle hash h. The distance to the empty
 pivot is |A|; to {h} it is |A|-1 if h lies in A, else |A|+1. Only distances below |A| are
-stored: those to the pivots inside the set. Two prunings follow from the triangle
-inequality: d(A,B) >= ||A|-|B||, a range condition on the distance to the empty pivot;
-and, summed over the disjoint singletons, d(A,B) >= |{h in A: stored}| - |common|, so two
+stored: those to the pivots inside the set. The size bound d(A,B) >= ||A|-|B|| follows from
+the triangle inequality, a range condition on the distance to the empty pivot. The prefix
+bound does not; it counts sets: d(A,B) >= |A| - |common|, so two
 sets within the bound must both be near one of the first |A| - ceil(t|A|) + 1 pivots of
 A in any fixed order. Candidates are joined on (pivot, range of |A|), then the true
 distance is computed.
