@@ -1,255 +1,386 @@
-"""Duplicates of new batches against all accepted history, by prefix filtering of shingle sets with a size bound.
-
-Documents are shingle sets under the metric |A xor B| (a true metric; the Jaccard
-similarity t is reached exactly if |A xor B| <= (1-t)/(1+t) (|A|+|B|)). The fixed pivots
-are the empty set and one singleton {h} per shingle hash h. The distance to the empty
-pivot is |A|; to {h} it is |A|-1 if h lies in A, else |A|+1. Only distances below |A| are
-stored: those to the pivots inside the set. The size bound d(A,B) >= ||A|-|B|| follows from
-the triangle inequality, a range condition on the distance to the empty pivot. The prefix
-bound does not; it counts sets: d(A,B) >= |A| - |common|, so two
-sets within the bound must both be near one of the first |A| - ceil(t|A|) + 1 pivots of
-A in any fixed order. Candidates are joined on (pivot, range of |A|), then the true
-distance is computed.
-
-Dense pivots (a few fixed documents under the Jaccard distance) prune nothing here:
-nearly every distance between two texts is 1. The README has the figures.
-
-The pivot order is fixed with the history: pivots that were common when it was first
-built come last. History is a folder of three appended tables (`documents`, `sets`,
-`pivots`); a batch is joined to the pivots it needs, never to the texts of the history.
-The sets of the history are read only for candidate pairs.
-
-Within a batch acceptance is sequential by definition; it is decided in rounds. A record
-is accepted once no earlier undecided record can make it a duplicate; hashes, equal sets
-and paths act through one aggregated row per key, so a key that holds a third of all
-rows costs one row, not pairs.
+"""Duplicates of new loads against all accepted history, by a stored table of pivot distances.
+
+Documents are shingle sets under the metric |A xor B|; the Jaccard similarity t is reached
+exactly if |A xor B| <= (1-t)/(1+t) (|A|+|B|). The fixed pivots are the empty set and one
+singleton {h} per shingle hash h. The distance to the empty pivot is n = |A|; to {h} it is
+n - 1 if h lies in A, else n + 1. Only distances below n are stored, those to pivots inside
+the set, of these the first n - ceil(t n) + 1 in a fixed order of all pivots. Two sets within the bound
+share one of them (prefix filtering, a bound on counts), their n lie in a range of each
+other (the triangle inequality at the empty pivot), and the places of the shared pivots
+bound how much they can have in common. The true distance is computed for what is left.
+Dense pivots (a few documents under the Jaccard distance) prune nothing here; see README.
+
+History is a folder of tables that are written in buckets: `pivots` by pivot, `sets` by class,
+`keys` by key. A load only probes them: its own rows go to the buckets, the history is
+neither shuffled nor sorted anew, and the sets of the history are read for candidates only.
+Rows carry the number of their load; a load that failed leaves rows that nobody reads.
+
+The order of pivots is rare-first by a sketch of counters over the load that opens it, of a
+fixed size however large the corpus. When the history has grown by `GROWTH` since, the next
+load opens a new order: its rows are stored under the new one and probe under each (at most
+log of the growth), so pivots that became common later do not pile up. Pivots that are
+common in the sketch are split: their stored distances are dealt over parts, and a probe looks into
+each part.
+
+Rows with the same hash, set and place act as one: the first stands for all, so a group of
+copies of any size is one row. Within a load acceptance is sequential by definition; it is decided in
+rounds over keys (hash, set, similar set, place), one aggregated row per key.
 
 Defined results: rows with size 0 are left out; a null size is not 0. Null and empty
 hashes match nothing. A row without hash and without body is compared by path and size (both must
 be known). A body that is short has no similarity but still is a body. Ties do not occur, as the order
-(batch_no, raw_id) is total; null batch numbers come first.
+(batch_no, raw_id) is total; null batch numbers come first. Loads must come in that order.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import raw_path, sha_key
-from ..session import checkpoint_dir, cut
-from .neardup import shingle_sets
-from .shingles import MIN_WORDS
+from ..session import checkpoint_dir, cut, spread
+from .shingles import MIN_WORDS, Shingler, mix
 
 THRESHOLD = 0.6
 WIDTH = 3
-#: A shingle in more than this many documents counts as common in the pivot order.
-COMMON = 8
+#: Counters of the sketch behind an order of pivots; stored distances of a common pivot that one part takes.
+COUNTERS, PART = 1 << 18, 4096
+#: A new order is opened when the history has grown by this factor since the last.
+GROWTH = 4
+#: Distinct sets that a task remembers in order to pass over copies; a matter of speed only.
+SEEN = 200_000
 
+TABLES = {
+    "pivots": ("pivot", "pivot bigint, cls bigint, n int, pos int, load int"),
+    "sets": ("cls", "cls bigint, cls2 bigint, id bigint, shingles array<bigint>, load int"),
+    "keys": ("k1", "k1 bigint, k2 bigint, id bigint, load int"),
+}
 
-def arrivals(raw_docs: DataFrame) -> DataFrame:
-    """raw_id, ord (total order of arrival), hash, place (path and size), loose (only its place can tell), body.
 
-    A key that is missing becomes one that no other row has, so it matches nothing and
-    does not gather in one task.
-    """
+def _pair(tag: str, value: Column, names: tuple[str, str]) -> list[Column]:
+    """128 bits that stand for `value`, null if it is null."""
+    return [F.when(value.isNotNull(), F.xxhash64(F.lit(f"{tag}{i}"), value)).alias(n) for i, n in enumerate(names)]
+
+
+def arrivals(raw_docs: DataFrame) -> DataFrame:
+    """raw_id, ord (total order of arrival), h1/h2 (hash), p1/p2 (path and size), loose (only its place can tell), body."""
     rows = raw_docs.where(F.coalesce(F.col("size") != 0, F.lit(True)))
-    own = F.concat(F.lit("~"), F.col("raw_id").cast("string"))
     sha = sha_key(F.col("sha256"))
     place = F.concat(F.col("size").cast("string"), F.lit(":"), raw_path(F.col("path")))
     no_body = F.coalesce(F.trim(F.col("body")), F.lit("")) == ""
     return rows.select(
         "raw_id",
         F.struct(F.coalesce("batch_no", F.lit(-(2**31))).alias("b"), F.col("raw_id").alias("r")).alias("ord"),
-        F.coalesce(sha, own).alias("hash"),
-        F.coalesce(place, own).alias("place"),
+        *_pair("h", sha, ("h1", "h2")),
+        *_pair("p", place, ("p1", "p2")),
         (sha.isNull() & no_body).alias("loose"),
         "body",
     )
 
 
-def pivot_order(sets: DataFrame, common: int = COMMON) -> DataFrame:
-    """(pivot, weight) of the common pivots; all others have the weight 0 and come first."""
-    return sets.select(F.explode("shingles").alias("pivot")).groupBy("pivot").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") > common)
-
-
-def pivot_table(sets: DataFrame, order: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, pivot, n): the stored distances n - 1 of each set to its first pivots; n is its distance to the empty pivot."""
-    n = F.size("shingles")
-    exploded = sets.select("id", n.alias("n"), F.explode("shingles").alias("pivot")).join(order, "pivot", "left")
-    # the pivots of a document are bounded by its own length, so they fit one row
-    ranked = exploded.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("weight", F.lit(0)).alias("w"), F.col("pivot").alias("p")))).alias("s"))
-    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return ranked.select("id", "n", F.explode(F.slice("s", F.lit(1), need)).alias("x")).select("id", F.col("x.p").alias("pivot"), "n")
-
-
-def within(n: str, m: str, threshold: float) -> Column:
-    """The triangle inequality at the empty pivot: |n - m| <= (1-t)/(1+t) (n + m)."""
-    return F.abs(F.col(n) - F.col(m)) <= (F.col(n) + F.col(m)) * ((1 - threshold) / (1 + threshold)) + 1e-9
-
-
-def candidates(new: DataFrame, old: DataFrame, threshold: float) -> DataFrame:
-    """Distinct (a of new, b of old), a <> b, that share a pivot within range.
-
-    Partitions are (pivot, range of n): with ranges of ratio 1/t a partner lies in the
-    same range or a neighbouring one, so each row of `new` looks into three.
+def with_sets(rows: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
+    """`rows` with the shingle set in place of `body`: c1/c2 (class: 128 bits of the set), n, shingles; all null for short bodies."""
+    kept = [c for c in rows.columns if c != "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(width, min_words)
+        for batch in batches:
+            sets = [shingler(t) for t in batch.column(len(kept)).to_pylist()]
+            marks = [None if s is None else np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(i) for i in range(len(kept))],
+                    *[pa.array([m and m[k] for m in marks], pa.int64()) for k in (0, 1)],
+                    pa.array([None if s is None else len(s) for s in sets], pa.int32()),
+                    pa.array([None if s is None else s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ],
+                [*kept, "c1", "c2", "n", "shingles"],
+            )
+
+    known = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+    return spread(rows.select(*kept, "body")).mapInArrow(run, f"{known}, c1 bigint, c2 bigint, n int, shingles array<bigint>")
+
+
+def _distinct_sets(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    for cls, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+        if cls not in seen:
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(cls)
+            yield cls, np.asarray(shingles.values)
+
+
+def sketch(sets: DataFrame) -> np.ndarray:
+    """How common pivots are by slot, less the median of all slots; the driver gets `COUNTERS` sums at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(COUNTERS, np.int64), set()
+        for batch in batches:
+            for _, s in _distinct_sets(batch, seen):
+                np.add.at(counts, s.view(np.uint64) & np.uint64(COUNTERS - 1), 1)
+        slots = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(counts[slots], pa.int64())], ["slot", "n"])
+
+    found = sets.where("c1 is not null").select("c1", "shingles").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[found["slot"]] = found["n"]
+    return np.maximum(counts - int(np.median(counts)), 0).astype(np.uint32)
+
+
+def pivot_rows(sets: DataFrame, orders: list[tuple[int, np.ndarray]], threshold: float = THRESHOLD, part: int = PART) -> DataFrame:
+    """(pivot, cls, n, pos, store): the first pivots of each class under every order; `store` marks the rows to keep in the history.
+
+    `pivot` is a hash of shingle, order and part. A pivot with more than `part` counts in
+    the sketch has parts: a class is stored in one of them and probes them all.
     """
-    import math
-
-    ratio = math.log(1 / threshold)
-    span = F.floor(F.log("n") / ratio).cast("int")
-    left = new.select(F.col("id").alias("a"), "pivot", F.col("n").alias("na"), F.explode(F.array(span - 1, span, span + 1)).alias("span"))
-    right = old.select(F.col("id").alias("b"), "pivot", F.col("n").alias("nb"), span.alias("span"))
-    return left.join(right, ["pivot", "span"]).where((F.col("a") != F.col("b")) & within("na", "nb", threshold)).select("a", "b").distinct()
-
-
-def verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose true distance is within the bound; `left` and `right` hold (id, shingles)."""
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(right.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
-    common = F.size(F.array_intersect("xa", "xb"))
-    similar = common >= (F.size("xa") + F.size("xb") - common) * threshold - 1e-9
-    return both.where(similar).select("a", "b")
-
-
-def _settle(rows: DataFrame, links: DataFrame, most_rounds: int = 500) -> DataFrame:
-    """(raw_id, accepted_id): accepted_id is null for accepted rows.
-
-    `rows`: raw_id, ord, hash, place, loose, cls (of its set), old (an accepted row of the
-    history that it duplicates, or null). `links`: similar classes (own, other) in both
-    directions.
+    shared = sets.sparkSession.sparkContext.broadcast(orders)  # one sketch per order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for cls, s in _distinct_sets(batch, seen):
+                h = s.view(np.uint64)
+                n = len(h)
+                need = n - int(np.ceil(n * threshold - 1e-9)) + 1
+                for k, (number, weights) in enumerate(shared.value):
+                    w = weights[h & np.uint64(COUNTERS - 1)]
+                    first = np.lexsort((h, w))[:need]
+                    parts = 1 + w[first].astype(np.int64) // part
+                    pos = np.repeat(np.arange(need, dtype=np.int32), parts)
+                    each = np.arange(len(pos)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    pivot = mix(h[first][pos] + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64) + each.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                    store = (cls % parts[pos] == each) & (k == len(shared.value) - 1)
+                    out.append((pivot.view(np.int64), np.full(len(pos), cls, np.int64), np.full(len(pos), n, np.int32), pos, store.astype(np.int8)))
+            types = (np.int64, np.int64, np.int32, np.int32, np.int8)
+            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, t) for t in types]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["pivot", "cls", "n", "pos", "store"])
+
+    rows = sets.where("c1 is not null").select("c1", "shingles").mapInArrow(run, "pivot bigint, cls bigint, n int, pos int, store byte")
+    # copies that met in several tasks become one row where the join wants them
+    return rows.repartition("pivot").groupBy("pivot", "cls").agg(*[F.max(c).alias(c) for c in ("n", "pos", "store")])
+
+
+def candidates(probes: DataFrame, stored: DataFrame, threshold: float, inner: bool) -> DataFrame:
+    """(a, b, na, nb, pa, pb) per shared pivot of a probing class a and a stored class b within the range of n; once per pair if `inner`."""
+    left = probes.select("pivot", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = stored.select("pivot", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    near = F.abs(F.col("na") - F.col("nb")) <= (F.col("na") + F.col("nb")) * ((1 - threshold) / (1 + threshold)) + 1e-9
+    other = F.col("a") < F.col("b") if inner else F.col("a") != F.col("b")
+    return left.join(right, "pivot").where(other & near)
+
+
+def possible(shared: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b, old) whose places leave room for enough in common: shared pivots so far plus the shorter rest behind the last."""
+    pairs = shared.groupBy("a", "b", "old").agg(F.count(F.lit(1)).alias("c"), *[F.max(x).alias(x) for x in ("pa", "pb", "na", "nb")])
+    rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    return pairs.where(F.col("c") + rest >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-9).select("a", "b", "old")
+
+
+def _keys(rows: DataFrame, *columns: str, heard: bool) -> DataFrame:
+    """One row per key: `columns`, k1, k2. `heard`: the keys that can make a row a duplicate, else those that it shows to others."""
+    key = lambda a, b, when: F.when(F.col(a).isNotNull() & when, F.struct(F.col(a).alias("k1"), F.col(b).alias("k2")))
+    yes = F.lit(True)
+    keys = F.array_compact(F.array(key("h1", "h2", yes), key("c1", "c2", yes), key("p1", "p2", F.col("loose") if heard else yes)))
+    return rows.select(*columns, F.explode(keys).alias("k")).select(*columns, "k.k1", "k.k2")
+
+
+def _least(rows: DataFrame, links: DataFrame, by_key: DataFrame, marks: list[str]) -> DataFrame:
+    """`rows` with the least `marks` of `by_key` over all keys that each row hears, similar classes included."""
+    near = links.join(by_key, (F.col("b") == F.col("k1")) & (F.col("b2") == F.col("k2"))).groupBy("a").agg(*[F.min(m).alias(f"_{m}") for m in marks])
+    own = _keys(rows, "raw_id", heard=True).join(by_key, ["k1", "k2"]).groupBy("raw_id").agg(*[F.min(m).alias(m) for m in marks])
+    both = rows.join(own, "raw_id", "left").join(near, rows["c1"] == near["a"], "left")
+    return both.select(*rows.columns, *[F.least(m, f"_{m}").alias(m) for m in marks])
+
+
+REP = ("raw_id", "ord", "h1", "h2", "p1", "p2", "loose", "c1", "c2", "s1", "s2")
+
+
+def settle(reps: DataFrame, links: DataFrame, most_rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, (raw_id, first)) for `reps` (columns REP): `first` is the accepted row that each other one duplicates.
+
+    A row is accepted once no earlier undecided row can make it a duplicate, and is out
+    once an earlier accepted one does. `links` (a, b, b2): similar classes, both ways.
     """
-    columns = ("ord", "hash", "place", "loose", "cls")
-    open_ = rows.where("old is null").select(*columns)
-    accepted = None
-
-    def earlier(of: DataFrame, source: DataFrame) -> DataFrame:
-        """`of` with the least ord of `source` by hash, by set or similar set, and by place where that counts."""
-        for k in ("hash", "place", "cls"):
-            of = of.join(source.groupBy(k).agg(F.min("ord").alias(f"_{k}")), k, "left")
-        by_class = source.groupBy("cls").agg(F.min("ord").alias("_min"))
-        near = links.join(by_class, links["other"] == by_class["cls"]).groupBy(links["own"].alias("cls")).agg(F.min("_min").alias("_near"))
-        return of.join(near, "cls", "left").withColumn("_place", F.when(F.col("loose"), F.col("_place")))
-
-    marks = ("_hash", "_place", "_cls", "_near")
+    columns = list(REP)
+    state = reps.select(*columns, F.lit(False).alias("taken"))
+    out = None
     for _ in range(most_rounds):
-        blocked = F.lit(False)
-        for k in marks:
-            blocked = blocked | F.coalesce(F.col(k) < F.col("ord"), F.lit(False))
-        taken = cut(earlier(open_, open_).where(~blocked).select(*columns))
-        if taken.isEmpty():
+        by_key = _keys(state, "ord", "taken", heard=False).groupBy("k1", "k2").agg(F.min(F.when(~F.col("taken"), F.col("ord"))).alias("open"), F.min(F.when(F.col("taken"), F.col("ord"))).alias("kept"))
+        seen = _least(state.where("not taken"), links, by_key, ["open", "kept"])
+        dropped = F.coalesce(F.col("kept") < F.col("ord"), F.lit(False))
+        taken = ~dropped & F.coalesce(F.col("open") >= F.col("ord"), F.lit(True))
+        now = cut(seen.select(*columns, taken.alias("taken"), dropped.alias("dropped")))
+        left = now.agg(F.count_if("dropped"), F.count_if(~F.col("taken") & ~F.col("dropped"))).first()
+        if left[0]:
+            gone = now.where("dropped").select(*columns)
+            out = gone if out is None else out.unionByName(gone)
+        state = state.where("taken").unionByName(now.where("not dropped").drop("dropped"))
+        if not left[1]:
             break
-        accepted = taken if accepted is None else accepted.union(taken)
-        # whatever still is open and meets a taken row comes later than that row: it is a duplicate of it
-        met = earlier(open_.join(taken.select("ord"), "ord", "left_anti"), taken)
-        open_ = cut(met.where(F.coalesce(*marks).isNull()).select(*columns))
     else:
         raise RuntimeError("acceptance did not settle")
-    accepted = rows.limit(0).select(*columns) if accepted is None else accepted
-    out = earlier(rows, accepted)
-    first = F.least(*[F.when(F.col(c) < F.col("ord"), F.col(c)) for c in marks])["r"]
-    return out.select("raw_id", F.coalesce("old", first).alias("accepted_id"))
+    accepted = state.select(*columns)
+    if out is None:
+        return accepted, accepted.limit(0).select("raw_id", F.col("raw_id").alias("first"))
+    by_key = _keys(accepted, "ord", heard=False).groupBy("k1", "k2").agg(F.min("ord").alias("kept"))
+    return accepted, _least(out, links, by_key, ["kept"]).select("raw_id", F.col("kept.r").alias("first"))
 
 
-@dataclass(frozen=True)
+@dataclass
 class History:
-    """Accepted rows and their pivot distances as appended parquet tables in one shared folder."""
+    """Accepted rows, their keys, sets and pivot distances as bucketed tables in one shared folder.
+
+    `buckets` counts when the history is begun (the cores of the session by default) and
+    is kept in the folder.
+    """
 
     spark: SparkSession
     folder: str
     threshold: float = THRESHOLD
     width: int = WIDTH
-
-    SCHEMAS = {
-        "order": "pivot long, weight long",
-        "documents": "id long, hash string, place string",
-        "sets": "id long, shingles array<long>",
-        "pivots": "id long, pivot long, n int",
-    }
-
-    def read(self, name: str) -> DataFrame:
-        """One table of the history, empty if nothing was accepted yet."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.read.schema(self.SCHEMAS[name]).parquet(f"{self.folder}/{name}")
-        return self.spark.createDataFrame([], self.SCHEMAS[name])
-
-    def append(self, name: str, df: DataFrame) -> None:
-        df.select(*[c.split()[0] for c in self.SCHEMAS[name].split(", ")]).write.mode("append").parquet(f"{self.folder}/{name}")
+    buckets: int | None = None
+    part: int = PART
+
+    def __post_init__(self) -> None:
+        marks = self._marks()
+        self.started = {int(m.split(".")[0]) for m in marks if m.endswith(".open")}
+        self.done = {int(p[0]): int(p[2]) for m in marks if (p := m.split("."))[1] == "done"}
+        known = [int(m.split(".")[1]) for m in marks if m.startswith("buckets.")]
+        self.buckets = known[0] if known else self.buckets or self.spark.sparkContext.defaultParallelism
+        if not known:
+            self._mark(f"buckets.{self.buckets}")
+        self.orders = [] if not self._exists("orders") else [(r.load, r.accepted, np.frombuffer(r.weights, np.uint32)) for r in self.spark.read.parquet(f"{self.folder}/orders").orderBy("load").collect()]
+        name = uuid.uuid5(uuid.NAMESPACE_URL, self.folder).hex
+        self.names = {t: f"history_{name}_{t}" for t in TABLES}
+        for t, (by, schema) in TABLES.items():
+            self.spark.sql(f"create table if not exists {self.names[t]} ({schema}) using parquet clustered by ({by}) sorted by ({by}) into {self.buckets} buckets location '{self.folder}/{t}'")
+
+    def _path(self, name: str) -> tuple:  # type: ignore[type-arg]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        files, path = self._path(name)
+        return files.exists(path)
+
+    def _marks(self) -> list[str]:
+        """Empty files that say how many buckets there are, which loads were begun, and which were done with how many rows accepted."""
+        files, path = self._path("loads")
+        return [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+
+    def _mark(self, name: str) -> None:
+        files, path = self._path(f"loads/{name}")
+        files.create(path, False).close()
+
+    @property
+    def accepted(self) -> int:
+        return sum(self.done.values())
+
+    def table(self, name: str) -> DataFrame:
+        """A table of the history without the rows of loads that failed."""
+        failed = self.started - self.done.keys()
+        rows = self.spark.table(self.names[name])
+        return rows.where(~F.col("load").isin(*failed)) if failed else rows
+
+    def _append(self, name: str, rows: DataFrame, load: int) -> None:
+        by, schema = TABLES[name]
+        columns = [c.split()[0] for c in schema.split(", ")][:-1]
+        rows.select(*columns, F.lit(load).alias("load")).repartition(self.buckets, by).write.insertInto(self.names[name])
+
+    def _open_order(self, rows: DataFrame, load: int) -> None:
+        if self.orders and (not self.accepted or self.accepted < GROWTH * max(1, self.orders[-1][1])):
+            return
+        weights = sketch(rows)
+        size = max(self.accepted, 1)
+        self.spark.createDataFrame([(load, size, bytearray(weights.tobytes()))], "load int, accepted bigint, weights binary").coalesce(1).write.mode("append").parquet(f"{self.folder}/orders")
+        self.orders.append((load, size, weights))
 
     def add(self, raw_docs: DataFrame) -> DataFrame:
         """Decide one load (one batch or many) and append what it brings; returns (raw_id, accepted_id or null)."""
-        rows = arrivals(raw_docs)
-        texts = rows.select(F.col("raw_id").alias("id"), F.col("body").alias("text"))
-        sets = shingle_sets(texts, self.width, MIN_WORDS).withColumn("cls_key", F.xxhash64("shingles"))
-        sets = cut(sets)
-        # classes of equal sets; two sets share a key only if they are equal up to a 64-bit hash and size
-        first = sets.groupBy("cls_key", F.size("shingles").alias("n")).agg(F.min("id").alias("cls"))
-        member = sets.select("id", "cls_key", F.size("shingles").alias("n")).join(first, ["cls_key", "n"]).select(F.col("id").alias("raw_id"), "cls")
-        firsts = sets.join(first.select(F.col("cls").alias("id")), "id", "left_semi")
-        if not (known := self._has("order")):
-            self.append("order", pivot_order(firsts))
-        pivots = cut(pivot_table(firsts, self.read("order"), self.threshold))
-        one_way = candidates(pivots, pivots, self.threshold).where("a < b")
-        inner = verify(one_way, firsts, firsts, self.threshold)
-        both = inner.select(F.col("a").alias("own"), F.col("b").alias("other")).union(inner.select("b", "a"))
-        links = cut(both.select(*[F.concat(F.lit("c"), F.col(c).cast("string")).alias(c) for c in ("own", "other")]))
-        state = rows.drop("body").join(member, "raw_id", "left")
-        state = self._against_history(state, pivots, firsts) if known else state.withColumn("old", F.lit(None).cast("long"))
-        named = lambda c: F.coalesce(F.concat(F.lit("c"), F.col(c).cast("string")), F.concat(F.lit("~"), F.col("raw_id").cast("string")))
-        state = cut(state.withColumn("cls", named("cls")))
-        decided = cut(_settle(state, links))
-        fresh = decided.where("accepted_id is null").select("raw_id")
-        self.append("documents", rows.join(fresh, "raw_id", "left_semi").select(F.col("raw_id").alias("id"), "hash", "place"))
-        kept = member.join(fresh, "raw_id", "left_semi")
-        by_class = kept.select(F.col("raw_id").alias("_id"), F.col("cls").alias("id"))
-        self.append("sets", firsts.join(by_class, "id").select(F.col("_id").alias("id"), "shingles"))
-        self.append("pivots", pivots.join(by_class, "id").select(F.col("_id").alias("id"), "pivot", "n"))
-        return decided
-
-    def _has(self, name: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
-    def _against_history(self, state: DataFrame, pivots: DataFrame, firsts: DataFrame) -> DataFrame:
-        """`old`: the least accepted id of the history that a row duplicates."""
-        documents = self.read("documents")
-        for key in ("hash", "place"):
-            by = documents.groupBy(key).agg(F.min("id").alias(f"_old_{key}"))
-            state = state.join(by, key, "left")
-        state = state.withColumn("_old_place", F.when(F.col("loose"), F.col("_old_place")))
-        # only the pivots of the history that the load has, and only the sets of candidate pairs
-        pairs = cut(candidates(pivots, self.read("pivots"), self.threshold))
-        wanted = pairs.select(F.col("b").alias("id")).distinct()
-        found = verify(pairs, firsts, self.read("sets").join(wanted, "id", "left_semi"), self.threshold)
-        near = found.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("_old_set"))
-        state = state.join(near, "cls", "left")
-        return state.withColumn("old", F.least("_old_hash", "_old_place", "_old_set")).select("raw_id", "ord", "hash", "place", "loose", "cls", "old")
+        load = 1 + max(self.started, default=0)
+        self._mark(f"{load}.open")
+        self.started.add(load)
+        sign = lambda seed: F.xxhash64(F.lit(seed), "h1", "h2", "c1", "c2", F.when(F.col("loose"), F.col("p1")), F.when(F.col("loose"), F.col("p2")), F.when(F.coalesce("h1", "c1", F.when(F.col("loose"), F.col("p1"))).isNull(), F.col("raw_id")))
+        rows = cut(with_sets(arrivals(raw_docs), self.width).withColumn("s1", sign(1)).withColumn("s2", sign(2)))
+        old = self.accepted > 0
+        self._open_order(rows, load)
+        probes = cut(pivot_rows(rows, [(number, w) for number, _, w in self.orders], self.threshold, self.part))
+        links = cut(self._links(rows, probes, old))
+        reps = rows.groupBy("s1", "s2").agg(F.min(F.struct("ord", "raw_id", "h1", "h2", "p1", "p2", "loose", "c1", "c2")).alias("x")).select("x.*", "s1", "s2").select(*REP)
+        known = cut(self._known(reps, links) if old else reps.withColumn("known", F.lit(None).cast("bigint")))
+        both = links.where("not old").select("a", "a2", "b", "b2")
+        both = both.select("a", "b", "b2").union(both.select("b", "a", "a2"))
+        accepted, repeats = settle(known.where("known is null"), both)
+        accepted = cut(accepted)
+        decided = known.join(repeats, "raw_id", "left").select("s1", "s2", F.col("raw_id").alias("rep"), F.coalesce("known", "first").alias("first"))
+        out = rows.select("raw_id", "s1", "s2").join(decided, ["s1", "s2"])
+        out = cut(out.select("raw_id", F.coalesce("first", F.when(F.col("raw_id") != F.col("rep"), F.col("rep"))).alias("accepted_id")))
+        self._append("keys", _keys(accepted.withColumn("id", F.col("raw_id")), "id", heard=False), load)
+        fresh = accepted.where("c1 is not null").select("raw_id", "c1")
+        self._append("sets", rows.join(fresh.select("raw_id"), "raw_id", "left_semi").select(F.col("c1").alias("cls"), F.col("c2").alias("cls2"), F.col("raw_id").alias("id"), "shingles"), load)
+        self._append("pivots", probes.where("store = 1").join(fresh.select(F.col("c1").alias("cls")), "cls", "left_semi"), load)
+        self.done[load] = accepted.count()
+        self._mark(f"{load}.done.{self.done[load]}")
+        return out
+
+    def _links(self, rows: DataFrame, probes: DataFrame, old: bool) -> DataFrame:
+        """(a, a2, b, b2, id, old) of the classes within the distance: a of the load, b of the load or (`old`) of the history, where `id` has it."""
+        shared = candidates(probes, probes.where("store = 1"), self.threshold, True).withColumn("old", F.lit(False))
+        if old:
+            shared = shared.unionByName(candidates(probes, self.table("pivots"), self.threshold, False).withColumn("old", F.lit(True)))
+        pairs = cut(possible(shared, self.threshold))
+        wanted = pairs.select(F.explode(F.array_distinct(F.array(F.col("a"), F.when(~F.col("old"), F.col("b")).otherwise(F.col("a"))))).alias("c1")).distinct()
+        new = rows.join(wanted, "c1", "left_semi").groupBy("c1").agg(F.min("c2").alias("c2"), F.first("shingles").alias("s"), F.lit(None).cast("bigint").alias("id"))
+        sets = new.select(F.col("c1").alias("cls"), F.col("c2").alias("cls2"), "id", "s", F.lit(False).alias("old"))
+        if old:
+            kept = self.table("sets").join(pairs.where("old").select(F.col("b").alias("cls")).distinct(), "cls", "left_semi")
+            sets = sets.unionByName(kept.select("cls", "cls2", "id", F.col("shingles").alias("s"), F.lit(True).alias("old")))
+        left = sets.where("not old").select(F.col("cls").alias("a"), F.col("cls2").alias("a2"), F.col("s").alias("xa"))
+        right = sets.select(F.col("cls").alias("b"), F.col("cls2").alias("b2"), "id", F.col("s").alias("xb"), "old")
+        common = F.size(F.array_intersect("xa", "xb"))
+        similar = common >= (F.size("xa") + F.size("xb") - common) * self.threshold - 1e-9
+        return pairs.join(left, "a").join(right, ["b", "old"]).where(similar).select("a", "a2", "b", "b2", "id", "old")
+
+    def _known(self, reps: DataFrame, links: DataFrame) -> DataFrame:
+        """`reps` with `known`: the least accepted id of the history that each duplicates, or null."""
+        own = _keys(reps, "raw_id", heard=True).join(self.table("keys").select("k1", "k2", "id"), ["k1", "k2"]).groupBy("raw_id").agg(F.min("id").alias("_own"))
+        near = links.where("old").groupBy("a").agg(F.min("id").alias("_near"))
+        both = reps.join(own, "raw_id", "left").join(near, reps["c1"] == near["a"], "left")
+        return both.select(*REP, F.least("_own", "_near").alias("known"))
 
 
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder for a history beside the checkpoints, shared by all executors."""
-    import uuid
-
     return f"{checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
 
 
-def duplicates(raw_docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """(accepted_id, raw_id) of every duplicate of `raw_docs`, loaded at once into a history that is empty at first."""
-    history = History(raw_docs.sparkSession, folder or new_folder(raw_docs.sparkSession))
-    return history.add(raw_docs).where("accepted_id is not null").select("accepted_id", "raw_id")
-
-
-def duplicates_by_batch(raw_docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """The same as `duplicates`, batch after batch: each sees the history only through its tables."""
-    history = History(raw_docs.sparkSession, folder or new_folder(raw_docs.sparkSession))
-    numbers = [r[0] for r in raw_docs.select("batch_no").distinct().orderBy("batch_no").collect()]
+def decisions(raw_docs: DataFrame, folder: str, batches_per_load: int = 1, **options: object) -> DataFrame:
+    """(raw_id, accepted_id or null), load after load of so many batches: each sees the ones before only through the stored history."""
+    history = History(raw_docs.sparkSession, folder, **options)
+    numbers = [r[0] for r in raw_docs.select("batch_no").distinct().orderBy("batch_no").collect()]  # one number per batch
     out = None
-    for number in numbers:
-        found = history.add(raw_docs.where(F.col("batch_no").eqNullSafe(number)))
+    for first in range(0, len(numbers), batches_per_load):
+        taken = F.lit(False)
+        for number in numbers[first : first + batches_per_load]:
+            taken = taken | F.col("batch_no").eqNullSafe(number)
+        found = history.add(raw_docs.where(taken))
         out = found if out is None else out.union(found)
-    if out is None:
-        return history.add(raw_docs).select("accepted_id", "raw_id")
-    return out.where("accepted_id is not null").select("accepted_id", "raw_id")
+    return history.add(raw_docs) if out is None else out
+
+
+def duplicates(raw_docs: DataFrame, folder: str, batches_per_load: int = 1, **options: object) -> DataFrame:
+    """(accepted_id, raw_id) of every duplicate of `raw_docs`, load after load through the history in `folder`."""
+    return decisions(raw_docs, folder, batches_per_load, **options).where("accepted_id is not null").select("accepted_id", "raw_id")
+
+
+def duplicates_at_once(raw_docs: DataFrame, folder: str, **options: object) -> DataFrame:
+    """The same rows, with all batches decided as one load."""
+    return History(raw_docs.sparkSession, folder, **options).add(raw_docs).where("accepted_id is not null").select("accepted_id", "raw_id")

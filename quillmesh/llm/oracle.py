@@ -16,7 +16,26 @@ _SHINGLES = r"""w as (select page_id, regexp_extract_all(lower(title || ' ' || c
 s as (select distinct page_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) g from w where len(ws) >= 8),
 n as (select page_id, count(*) n from s group by 1)"""
 
+#: The definition row by row: a list of what was accepted so far, and per row the earlier rows that it would repeat.
+_ACCEPTED = r"""r as (select raw_id, batch_no, size, nullif(regexp_replace(trim(lower(sha256)), '^sha256:\s*', ''), '') h, body,
+ size || ':' || regexp_replace(regexp_replace(trim(path), '^\./', ''), '^raw/', '') place, row_number() over (order by batch_no nulls first, raw_id) o from raw_docs where size <> 0 or size is null),
+w as (select o, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') ws from r where body is not null),
+g as (select distinct o, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) g from w where len(ws) >= 8),
+n as (select o, count(*) n from g group by 1),
+c as (select a.o x, b.o y, count(*) k from g a join g b on a.g = b.g and a.o < b.o group by 1, 2),
+e as (select x, y from c join n p on p.o = x join n q on q.o = y where k >= 0.6 * (p.n + q.n - k)
+ union select a.o, b.o from r a join r b on a.h = b.h and a.o < b.o
+ union select a.o, b.o from r a join r b on a.place = b.place and a.o < b.o where b.h is null and coalesce(trim(b.body), '') = ''),
+l as (select y, list(x order by x) xs, row_number() over (order by y) i from e group by 1),
+walk as (select 0::bigint i, []::bigint[] dup, null::bigint hit union all
+ select l.i, case when k is null then dup else list_append(dup, l.y) end, k from
+ (select l.i, l.y, dup, (list_filter(l.xs, lambda x: not list_contains(dup, x)))[1] k from walk join l on l.i = walk.i + 1) l),
+found as (select p.raw_id accepted_id, q.raw_id, q.batch_no from walk join l using (i) join r p on p.o = walk.hit join r q on q.o = l.y)"""
+
 ORACLE = {
+    "p2_found": f"with recursive {_ACCEPTED} select accepted_id, raw_id from found",
+    "p2_at_once": f"with recursive {_ACCEPTED} select accepted_id, raw_id from found",
+    "p2_by_batch": f"with recursive {_ACCEPTED} select r.batch_no, r.raw_id, f.accepted_id from r left join found f using (raw_id)",
     "p1_found": f"""with {_SHINGLES}, c as (select a.page_id x, b.page_id y, count(*) k from s a join s b on a.g = b.g and a.page_id < b.page_id group by 1, 2)
  select x page_id_a, y page_id_b from c join n p on p.page_id = x join n q on q.page_id = y where k >= 0.6 * (p.n + q.n - k)""",
     "p3_found": f"with {_COUNTS} select distinct page_id, term from tf join per using (term) where tf >= 4 and df <= 3",

@@ -28,11 +28,19 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return batches.duplicates(table(spark, d, "raw_docs"))
+    """Loads of four batches, each probing the stored history."""
+    return batches.duplicates(table(spark, d, "raw_docs"), batches.new_folder(spark), batches_per_load=4)
+
+
+def p2_at_once(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p2_found from one load of all batches."""
+    return batches.duplicates_at_once(table(spark, d, "raw_docs"), batches.new_folder(spark))
 
 
 def p2_by_batch(spark: SparkSession, d: str) -> DataFrame:
-    return batches.duplicates_by_batch(table(spark, d, "raw_docs"))
+    """What became of every row: its batch, and the accepted row it repeats, if any; rows of size 0 are left out."""
+    raw = table(spark, d, "raw_docs")
+    return batches.decisions(raw, batches.new_folder(spark)).join(raw.select("raw_id", "batch_no"), "raw_id").select("batch_no", "raw_id", "accepted_id")
 
 
 def _weights(spark: SparkSession, d: str) -> DataFrame:
@@ -102,5 +110,5 @@ def p9_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_by_batch, p3_found, p3_weights, p4_found, p4_clean, p4_wrappers, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired)
+    for f in (p1_found, p1_groups, p2_found, p2_at_once, p2_by_batch, p3_found, p3_weights, p4_found, p4_clean, p4_wrappers, p5_found, p5_pieces, p7_ids, p8_mix, p8_shares, p9_found, p9_repaired)
 }

@@ -112,18 +112,60 @@ def brute(rows):
     return out
 
 
-def test_batches_equal_sequential_definition(spark):
+def test_batches_equal_sequential_definition(spark, tmp_path):
     rows = raws()
     df = spark.createDataFrame(rows, RAW)
     want = brute(rows)
-    assert {tuple(r) for r in batches.duplicates(df).collect()} == want and len(want) > 20
+    assert {tuple(r) for r in batches.duplicates(df, f"{tmp_path}/h", buckets=2).collect()} == want and len(want) > 20
 
 
-def test_batch_by_batch_equals_one_load(spark):
+def test_one_load_equals_batch_by_batch(spark, tmp_path):
     rows = raws(90, 5)
     df = spark.createDataFrame(rows, RAW)
-    assert {tuple(r) for r in batches.duplicates_by_batch(df).collect()} == brute(rows)
+    assert {tuple(r) for r in batches.duplicates_at_once(df, f"{tmp_path}/h", buckets=2).collect()} == brute(rows)
 
 
-def test_no_rows(spark):
-    assert batches.duplicates(spark.createDataFrame([], RAW)).count() == 0
+def test_split_pivots_and_new_orders_lose_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "COUNTERS", 64)
+    monkeypatch.setattr(batches, "GROWTH", 1)
+    rows = raws(120, 7)
+    df = spark.createDataFrame(rows, RAW)
+    history = batches.History(spark, f"{tmp_path}/h", buckets=2, part=3)
+    got = set()
+    for number in (None, 1, 2, 3):
+        found = history.add(df.where("batch_no is null" if number is None else f"batch_no = {number}"))
+        got |= {(r.accepted_id, r.raw_id) for r in found.where("accepted_id is not null").collect()}
+    assert got == brute(rows) and len(history.orders) > 1
+
+
+def test_a_failed_load_is_forgotten_and_a_history_is_opened_again(spark, tmp_path, monkeypatch):
+    rows = raws(80, 9)
+    df = spark.createDataFrame(rows, RAW)
+    first, second = df.where("batch_no is null or batch_no = 1"), df.where("batch_no > 1")
+    history = batches.History(spark, f"{tmp_path}/h", buckets=2)
+    mark = batches.History._mark
+    monkeypatch.setattr(batches.History, "_mark", lambda self, name: 1 / 0 if ".done" in name else mark(self, name))
+    try:
+        history.add(first)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.setattr(batches.History, "_mark", mark)
+    found = batches.History(spark, f"{tmp_path}/h").add(first)
+    got = found.unionByName(batches.History(spark, f"{tmp_path}/h").add(second)).where("accepted_id is not null").select("accepted_id", "raw_id")
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_history_is_read_in_buckets(spark, tmp_path):
+    history = batches.History(spark, f"{tmp_path}/h", buckets=2)
+    history.add(spark.createDataFrame(raws(40, 2), RAW))
+    probes = spark.range(10).selectExpr("id pivot", "id cls", "1 n", "0 pos")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = batches.candidates(probes, history.table("pivots"), 0.6, False)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_no_rows(spark, tmp_path):
+    assert batches.duplicates(spark.createDataFrame([], RAW), f"{tmp_path}/h", buckets=2).count() == 0
