@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
+from ..session import cut
 
 
 def html_text(html: Column) -> Column:
@@ -45,36 +47,67 @@ def chunks(segments: DataFrame, most_lines: int) -> DataFrame:
     return each.select("seg_id", "file", "seg_no", "chunk_no", text.alias("text"), F.size(lines(text)).alias("n_lines"))
 
 
-def packs(chunked: DataFrame, most_lines: int) -> DataFrame:
-    """(topic, file, seg_id, chunk_no, pack_no): in order of file, segment and chunk a pack is closed before it would grow beyond `most_lines`.
+def packs(chunked: DataFrame, most_lines: int, order: Sequence[str] = ("file", "seg_no", "seg_id", "chunk_no")) -> DataFrame:
+    """(topic, file, seg_id, chunk_no, pack_no): in order of file, segment and chunk a topic's pack is closed before it would grow beyond `most_lines`.
 
-    A sum with resets is no window frame, so each file's sizes are folded in order; a
-    pack never spans files. The sorted sizes stream through the fold, which remembers one
-    running sum, however large a file is; texts stay behind. `chunked`: topic, file,
-    seg_no, seg_id, chunk_no, n_lines.
+    A pack may span files of its topic. The count of a pack depends on all chunks before it,
+    so the sizes (texts stay behind) are sorted into ranges over all tasks, and each range
+    first tells, for every number of lines that may be left open before it, how many packs
+    it closes and what it leaves open: at most `most_lines` + 1 numbers per range and topic.
+    These are chained per topic, and each range then numbers its chunks from what it was left.
+    A topic of any size is thus many tasks. `chunked`: topic, `order` and n_lines; ties in
+    the order are the caller's to avoid.
     """
+    columns = ["topic", *order]
+    ranged = chunked.select(*columns, F.greatest(F.col("n_lines"), F.lit(0)).cast("int").alias("n_lines")).repartitionByRange(*columns).sortWithinPartitions(*columns)
+    ranged = cut(ranged.withColumn("_range", F.spark_partition_id()))
+    cap = most_lines + 1  # more open lines than a pack may have close it before any further line
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, pack, used = None, 1, 0
+    def effect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic, state, key, begun = None, None, None, False
+        for b in batches:
+            out = []
+            for t, r, n in zip(b["topic"], b["_range"], b["n_lines"]):
+                if not begun or t != topic:
+                    if begun:
+                        out.append((*key, state[0].tolist(), state[1].tolist()))
+                    topic, key, begun = t, (t, int(r)), True
+                    state = np.arange(cap + 1), np.zeros(cap + 1, np.int64)
+                used, closed = state
+                full = (used > 0) & (used + n > most_lines)
+                state = np.minimum(np.where(full, n, used + n), cap), closed + full
+            yield pd.DataFrame(out, columns=["topic", "_range", "used", "closed"])
+        if begun:
+            yield pd.DataFrame([(*key, state[0].tolist(), state[1].tolist())], columns=["topic", "_range", "used", "closed"])
+
+    effects = ranged.select("topic", "_range", "n_lines").mapInPandas(effect, "topic string, _range int, used array<int>, closed array<bigint>")
+    chain = F.sort_array(F.collect_list(F.struct("_range", "used", "closed")))  # as many as there are ranges with the topic
+    begin = F.struct(F.lit(0).alias("used"), F.lit(1).cast("bigint").alias("pack"), F.array().cast("array<struct<_range:int,used:int,pack:bigint>>").alias("out"))
+    step = lambda a, x: F.struct(x["used"][a["used"]].alias("used"), (a["pack"] + x["closed"][a["used"]]).alias("pack"), F.concat(a["out"], F.array(F.struct(x["_range"], a["used"], a["pack"]))).alias("out"))
+    starts = effects.groupBy("topic").agg(chain.alias("x")).select("topic", F.explode(F.aggregate("x", begin, step)["out"]).alias("s")).select("topic", "s.*")
+    shared = ranged.sparkSession.sparkContext.broadcast({(r["topic"], r["_range"]): (r["used"], r["pack"]) for r in starts.collect()})  # ranges and topics, no chunks
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic, used, pack, begun = None, 0, 1, False
         for b in batches:
             numbers = []
-            for topic, file, n in zip(b["topic"], b["file"], b["n_lines"]):
-                if (topic, file) != key:
-                    key, pack, used = (topic, file), 1, 0
-                elif used + n > most_lines and used > 0:
-                    pack, used = pack + 1, 0
-                used += n
+            for t, r, n in zip(b["topic"], b["_range"], b["n_lines"]):
+                if not begun or t != topic:
+                    topic, begun = t, True
+                    used, pack = shared.value[t, int(r)]
+                if used > 0 and used + n > most_lines:
+                    used, pack = 0, pack + 1
+                used = min(used + n, cap)
                 numbers.append(pack)
-            yield pd.DataFrame({"topic": b["topic"], "file": b["file"], "seg_id": b["seg_id"], "chunk_no": b["chunk_no"], "pack_no": numbers})
+            yield b.drop(columns=["_range", "n_lines"]).assign(pack_no=numbers)
 
-    order = ["topic", "file", "seg_no", "seg_id", "chunk_no"]
-    sizes = chunked.select(*order, "n_lines").repartition("topic", "file").sortWithinPartitions(*order)
-    return sizes.mapInPandas(fold, "topic string, file string, seg_id long, chunk_no int, pack_no int")
+    kinds = {f.name: f.dataType.simpleString() for f in ranged.schema}
+    return ranged.mapInPandas(number, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", pack_no int").drop(*[c for c in order if c == "seg_no"])
 
 
 def pack_report(packed: DataFrame) -> DataFrame:
-    """(topic, file, pack_no, chunks, segments)."""
-    return packed.groupBy("topic", "file", "pack_no").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("seg_id").alias("segments"))
+    """(topic, pack_no, chunks, segments, files)."""
+    return packed.groupBy("topic", "pack_no").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("seg_id").alias("segments"), F.countDistinct("file").alias("files"))
 
 
 def flat_text(segments: DataFrame) -> DataFrame:

@@ -240,13 +240,13 @@ def lint(pages: DataFrame, now_micros: int, stale_days: int = 30) -> DataFrame:
     age = F.floor((F.lit(now_micros) - iso_micros(F.col("updated"))) / DAY)
     stale = p.withColumn("age", age).where(F.col("age") > stale_days)
     parts = [
-        issue(missing, "warning", "structure", "Missing YAML frontmatter", "Add frontmatter with title, type, tags, and sources", True),
-        issue(untitled, "warning", "structure", "Missing or auto-generated title", "Add a meaningful title in frontmatter"),
-        issue(orphans, "warning", "orphan", "Orphan page", F.concat(F.lit("Add [["), slug_of(F.col("page")), F.lit("]] to related pages or index.md")), True),
+        issue(missing, "warning", "structure", "No front matter", "Give the page a title, type, tags and sources", True),
+        issue(untitled, "warning", "structure", "The title is empty or only the file name", "Write a title into the front matter"),
+        issue(orphans, "warning", "orphan", "No page links here", F.concat(F.lit("Link [["), slug_of(F.col("page")), F.lit("]] where it belongs")), True),
         issue(broken, "error", "broken-link", F.concat(F.lit("Broken link: [["), "link", F.lit("]]")), F.concat(F.lit("Create "), "link", F.lit(".md or fix the link"))),
-        issue(unsourced, "info", "missing-source", "No sources listed", "Add sources to frontmatter"),
-        issue(lost, "error", "integrity", F.concat(F.lit("Synthesis source missing: "), "src"), "Review and update"),
-        issue(stale, "info", "stale", F.concat(F.lit("Stale content: "), F.col("age").cast("string"), F.lit(" days")), "Review and update if needed"),
+        issue(unsourced, "info", "missing-source", "The page names no source", "Name the raw documents behind it"),
+        issue(lost, "error", "integrity", F.concat(F.lit("Derived from a page that is gone: "), "src"), "Look for what replaced it"),
+        issue(stale, "info", "stale", F.concat(F.lit("Last updated days ago: "), F.col("age").cast("string")), "Read it again"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -76,12 +76,16 @@ def code_impact(spark: SparkSession, d: str) -> DataFrame:
     return gr.impact(edges, top.select(F.col("dst").alias("id")), 10)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _sql_tables(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else rd.sql_tables(t))
+
+
 def sql_table_names(spark: SparkSession, d: str) -> DataFrame:
-    """Tables named in SQL texts made of the rows of the part table."""
-    p = table(spark, d, "part").where("p_partkey % 7 <> 0")
+    """Tables that the reader of SQL statements finds in a text made of every row of the part table."""
+    p = table(spark, d, "part")
     text = F.concat(F.lit("SELECT A INTO :B FROM "), F.regexp_replace(F.upper("p_brand"), "[^A-Z0-9]", "_"), F.lit(" JOIN T"), F.col("p_size").cast("string"), F.lit(" ON X = Y"))
-    names = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)"), F.lit(1))))
-    return p.select("p_partkey", names.alias("tables"))
+    return spread(p.select("p_partkey", text.alias("text"))).select("p_partkey", _sql_tables("text").alias("tables"))
 
 
 #: Statement forms, with {0} the brand and {1} the size as names.
@@ -90,11 +94,6 @@ SQL_FORMS = (
 )
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _sql_tables(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else rd.sql_tables(t))
-
-
 def sql_table_names_all(spark: SparkSession, d: str) -> DataFrame:
     """Tables that the reader of SQL statements finds in every statement form made of every row of the part table."""
     name, size = F.regexp_replace(F.upper("p_brand"), "[^A-Z0-9]", "_"), F.col("p_size").cast("string")
@@ -112,7 +111,7 @@ ORACLE = {
  union all select 'raw-' || raw_id, body from raw_docs where regexp_matches(lower(path), '\.(cbl|cpy)$') and body is not null union all select 'seg-' || seg_id, text from segments where regexp_matches(lower(file), '\.(cbl|cpy)$') and text is not null),
  l as (select file, unnest(string_split(replace(text, chr(13), ''), chr(10))) line from s), c as (select file, unnest(regexp_extract_all(string_split(line, '*>')[1], '\bCALL ' || chr(39) || '([^' || chr(39) || ']*)' || chr(39), 1)) target from l where substr(line, 7, 1) not in ('*', '/', 'D', 'd'))
  select target, count(*) n, count(distinct file) files from c group by 1""",
-    "sql_table_names": r"""with t as (select p_partkey, 'SELECT A INTO :B FROM ' || regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g') || ' JOIN T' || p_size || ' ON X = Y' t from part where p_partkey % 7 <> 0)
+    "sql_table_names": r"""with t as (select p_partkey, 'SELECT A INTO :B FROM ' || regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g') || ' JOIN T' || p_size || ' ON X = Y' t from part)
  select p_partkey, list_sort(list_distinct(regexp_extract_all(t, '\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)', 1))) tables from t""",
     "sql_table_names_all": rf"""with f(form, t) as (values {_FORMS}), t as (select p_partkey, form::int form, upper(replace(replace(t, '{{0}}', regexp_replace(upper(p_brand), '[^A-Z0-9]', '_', 'g')), '{{1}}', p_size::varchar)) t from part, f)
  select p_partkey, form, list_sort(list_distinct(regexp_extract_all(regexp_replace(t, '([A-Z0-9_-])\s*\.\s*([A-Z0-9_-])', '\1.\2', 'g'), '\b(?:FROM|JOIN|UPDATE|(?:INSERT|MERGE)\s+INTO)\s+([A-Z0-9][A-Z0-9_.-]*)', 1))) tables from t""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import lint as li
 from ..operators import package as pk
 from ..operators import pages as pg
-from ..session import spread, table
+from ..session import checkpoint_dir, spread, table
 from ..streaming import streams as st
 from .provenance import raw_state
 from .wiki import _BROKEN, NOW
@@ -23,7 +23,7 @@ def package_inventory(spark: SparkSession, d: str) -> DataFrame:
 
 
 def package_conformance(spark: SparkSession, d: str) -> DataFrame:
-    return pk.conformance(package_inventory(spark, d), {"unsupported_pages": "reject", "links": "warn", "raw_immutable": True})
+    return pk.conformance(package_inventory(spark, d), {"evidence_policy": {"allow_unsupported_pages": "reject"}, "source_policy": {"require_sha256": True}})
 
 
 def lint_suggestions(spark: SparkSession, d: str) -> DataFrame:
@@ -54,10 +54,14 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The same windows through a stream that reads the events once; a row per window and type, so the result is small."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
-    query = st.weekly_counts(events).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/windows-{uuid.uuid4().hex}"
+
+    def keep(counts: DataFrame, _: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{folder}/counts")  # the whole result of the mode, written by the executors
+
+    query = st.weekly_counts(events).writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+    return spark.read.parquet(f"{folder}/counts").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
 _SYS = "(path in ('index.md', 'log.md', 'timeline.md', 'evidence-report.md') or ends_with(path, '/index.md'))"

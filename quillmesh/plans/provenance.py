@@ -131,7 +131,7 @@ def claim_contradictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def claim_contradictions_all(spark: SparkSession, d: str) -> DataFrame:
-    """Contradictions of all date and number claims; without SQL, as number claims need match offsets."""
+    """Contradictions of all date and number claims."""
     pages = table(spark, d, "wiki_pages")
     return cl.contradictions(cl.all_claims(pages), pages)
 
@@ -174,15 +174,16 @@ _CHUNK = r"""l as (select seg_id, file, seg_no, column_headers h, string_split(t
 c as (select seg_id, file, seg_no, h, i::int chunk_no, array_to_string(l[i * 10 + 1: i * 10 + 10], chr(10)) body from l, unnest(range(0, ((len(l) - 1) // 10) + 1)) t(i)),
 chunk as (select seg_id, file, seg_no, chunk_no, case when chunk_no > 0 and coalesce(h, '') <> '' then h || chr(10) || body else body end text from c),
 chunks as (select *, len(string_split(text, chr(10)))::int n_lines from chunk)"""
-_PACK = f"""{_CHUNK}, o as (select *, split_part(file, '/', 1) topic, row_number() over (partition by file order by seg_no, seg_id, chunk_no) rn from chunks),
+_PACK = f"""{_CHUNK}, o as (select *, split_part(file, '/', 1) topic, row_number() over (partition by split_part(file, '/', 1) order by file, seg_no, seg_id, chunk_no) rn from chunks),
 walk as (select file, rn, topic, seg_id, chunk_no, 1 pack_no, n_lines used from o where rn = 1 union all
- select o.file, o.rn, o.topic, o.seg_id, o.chunk_no, case when used + n_lines > 40 and used > 0 then pack_no + 1 else pack_no end, case when used + n_lines > 40 and used > 0 then n_lines else used + n_lines end from walk join o on o.file = walk.file and o.rn = walk.rn + 1)"""
+ select o.file, o.rn, o.topic, o.seg_id, o.chunk_no, case when used + n_lines > 40 and used > 0 then pack_no + 1 else pack_no end, case when used + n_lines > 40 and used > 0 then n_lines else used + n_lines end from walk join o on o.topic = walk.topic and o.rn = walk.rn + 1)"""
 
 
 def _score(words: list[str]) -> str:
     return "2 * len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda w: contains(t, w)))"
 
 
+_NUM = cl.NUMBER_CLAIM.replace("(?![a-z0-9_])", r"\b")
 _TYPES = list(cl.TYPE_WORDS)
 _CLASS = f"""w as (select *, case when page_id % 2 = 0 then type end ty, lower(coalesce(title, '')) || ' ' || lower(coalesce(content, '')) t, lower(coalesce(content, '')) b from wiki_pages),
 s as (select *, (length(b) - length(replace(b, '```', ''))) / 3 / 2 f, length(b) - length(replace(b, '|', '')) p from w),
@@ -219,7 +220,7 @@ ORACLE = {
     "extract_html": r"""select page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'), '<[^>]+>', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) sha from wiki_pages""",
     "extract_chunks": f"with {_CHUNK} select seg_id, file, seg_no, chunk_no, text, n_lines from chunks",
     "extract_packs": f"with recursive {_PACK} select topic, file, seg_id, chunk_no, pack_no from walk",
-    "extract_pack_report": f"with recursive {_PACK} select topic, file, pack_no, count(*) chunks, count(distinct seg_id) segments from walk group by 1, 2, 3",
+    "extract_pack_report": f"with recursive {_PACK} select topic, pack_no, count(*) chunks, count(distinct seg_id) segments, count(distinct file) files from walk group by 1, 2",
     "extract_flat": """with p as (select file, seg_no, seg_id, case when sheet is not null then '--- Sheet: ' || sheet || ' ---' || chr(10) || text when slide is not null then '--- Slide ' || slide || ' ---' || chr(10) || text else text end p from segments where text is not null),
  t as (select file, string_agg(p, chr(10) || chr(10) order by seg_no, seg_id) t from p where p is not null group by 1) select file, sha256(t) sha, length(t) n from t""",
     "extract_topics": r"""select raw_id, case when path is not null and path <> '' and not contains(path, '..') and not starts_with(path, '/') and not starts_with(path, chr(92)) then
@@ -232,6 +233,12 @@ ORACLE = {
  select path, pos part, content text from f where n > 1 union all select path, 0, content from wiki_pages where content is not null and path not in (select path from f where n > 1)""",
     "claim_dates": rf"""with x as (select path page, regexp_extract_all(content, '{cl.DATE_CLAIM}') l from wiki_pages where not {_SYS}), e as (select page, (generate_subscripts(l, 1) - 1)::int pos, unnest(l) excerpt from x)
  select page, pos, trim(lower(regexp_replace(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?', 'YEAR', 'g'))) "key", excerpt, substr(regexp_extract(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?'), 1, 4)::double "value", regexp_extract(excerpt, '\d{{4}}(?:-\d{{2}}-\d{{2}})?') raw_value from e""",
+    "claim_numbers": rf"""with x as (select path page, content c, string_split_regex(content, '{_NUM}') g, regexp_extract_all(content, '{_NUM}', 0) h from wiki_pages where content is not null and not {_SYS}),
+ y as (select page, c, g, h, unnest(range(1, len(h) + 1)) i from x), z as (select page, c, i, h[i] h, coalesce(list_sum(list_transform(g[:i], lambda t: length(t))), 0)::bigint + coalesce(list_sum(list_transform(h[:i - 1], lambda t: length(t))), 0)::bigint s from y),
+ e as (select page, i, h, regexp_replace(replace(c[greatest(s - 30, 0) + 1 : s + length(h) + 30], chr(10), ' '), '^{cl.BLANKS}+|{cl.BLANKS}+$', '', 'g') excerpt from z),
+ u as (select *, regexp_extract(h, '{_NUM}', 1) raw_value, lower(regexp_extract(h, '{_NUM}', 2)) u from e)
+ select page, (i - 1)::int pos, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(excerpt, '(?i)\bms\b', 's', 'g'), '(?i)\b(?:million|billion)\b', 'count', 'g'), '\bk\b', 'count', 'g'), '\d+\.?\d*', 'N', 'g'))[:60] "key", excerpt,
+ case u when 'ms' then raw_value::double / 1000 when 'million' then raw_value::double * 1e6 when 'billion' then raw_value::double * 1e9 when 'k' then raw_value::double * 1e3 else raw_value::double end "value", raw_value from u""",
     "claim_contradictions": r"""with x as (select path page, regexp_extract_all(content, 'the \w+ of step \d+') l from wiki_pages), e as (select page, generate_subscripts(l, 1) pos, unnest(l) excerpt from x),
  c as (select page, pos, regexp_replace(excerpt, '\d+$', 'n') k, excerpt, regexp_extract(excerpt, '(\d+)$', 1)::double v from e),
  f as (select * from c qualify row_number() over (partition by k, page order by pos) = 1),

@@ -131,13 +131,13 @@ _MICROS = """case when regexp_matches(trim({0}), '[Tt ][0-9]{{1,2}}:') then
 _DAY = "case when updated is not null then ' _(' || substr(updated, 1, 10) || ')_' else '' end"
 _LINT = f"""{_BROKEN}, {_ORPH}, der as (select path, src from (select path, unnest(derived_from) src from wiki_pages where type = 'synthesis') where src is not null),
 age as (select path, floor(({NOW} - ({_MICROS})) / 86400000000.0)::bigint age from wiki_pages),
-lint as (select 'warning' severity, path page, 'Missing YAML frontmatter' message, 'Add frontmatter with title, type, tags, and sources' suggestion, true auto_fixable, 'structure' category from wiki_pages where coalesce(cardinality(frontmatter), 0) = 0
- union all select 'warning', path, 'Missing or auto-generated title', 'Add a meaningful title in frontmatter', false, 'structure' from wiki_pages where title is null or title = '' or title = {_STEM}
- union all select 'warning', path, 'Orphan page', 'Add [[' || {_SLUG} || ']] to related pages or index.md', true, 'orphan' from orph
+lint as (select 'warning' severity, path page, 'No front matter' message, 'Give the page a title, type, tags and sources' suggestion, true auto_fixable, 'structure' category from wiki_pages where coalesce(cardinality(frontmatter), 0) = 0
+ union all select 'warning', path, 'The title is empty or only the file name', 'Write a title into the front matter', false, 'structure' from wiki_pages where title is null or title = '' or title = {_STEM}
+ union all select 'warning', path, 'No page links here', 'Link [[' || {_SLUG} || ']] where it belongs', true, 'orphan' from orph
  union all select 'error', path, 'Broken link: [[' || link || ']]', 'Create ' || link || '.md or fix the link', false, 'broken-link' from broken
- union all select 'info', path, 'No sources listed', 'Add sources to frontmatter', false, 'missing-source' from wiki_pages where not {_SYS} and coalesce(len(sources), 0) = 0 and type is not null and type not in ('', 'index', 'log', 'timeline')
- union all select 'error', path, 'Synthesis source missing: ' || src, 'Review and update', false, 'integrity' from der where {_UNRES.format('src')}
- union all select 'info', path, 'Stale content: ' || age || ' days', 'Review and update if needed', false, 'stale' from age where age > 30)"""
+ union all select 'info', path, 'The page names no source', 'Name the raw documents behind it', false, 'missing-source' from wiki_pages where not {_SYS} and coalesce(len(sources), 0) = 0 and type is not null and type not in ('', 'index', 'log', 'timeline')
+ union all select 'error', path, 'Derived from a page that is gone: ' || src, 'Look for what replaced it', false, 'integrity' from der where {_UNRES.format('src')}
+ union all select 'info', path, 'Last updated days ago: ' || age, 'Read it again', false, 'stale' from age where age > 30)"""
 
 QUERIES = {
     f.__name__: f

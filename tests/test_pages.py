@@ -85,8 +85,21 @@ def test_auto_links(spark):
     rows = frame(spark, page("ml.md", title="Deep Learning"), page("net.md", title="Learning"), page("x.md", "`Deep Learning` and deep learning, Learning; Learnings [[Learning]] Deep Learning", title="abc"))
     got = {r.path: r for r in cl.auto_links(rows).collect()}
     assert got["x.md"].content == "`Deep Learning` and [[ml|deep learning]], [[net|Learning]]; Learnings [[Learning]] Deep Learning" and got["x.md"].links_added == 2
-    again = {r.path: r.links_added for r in cl.auto_links(rows, most_titles=1).collect()}
-    assert again["x.md"] >= 1
+    again = {r.path: r.content for r in cl.auto_links(rows, most_titles=1).collect()}
+    assert again == {p: r.content for p, r in got.items()}  # blocks of titles change nothing
+    odd = frame(spark, page("ml.md", title="Deep Learning"), page("y.md", "İstanbul has Deep Learning", title="abc"))
+    assert {r.path: r.content for r in cl.auto_links(odd).collect()}["y.md"] == "İstanbul has [[ml|Deep Learning]]"
+
+
+def test_fixed_words():
+    assert sum(map(len, cl.TYPE_WORDS.values())) == 107 and len(cl.TAG_WORDS) == 55 and cl.TAG_WORDS["机器学习"] == "machine-learning"
+
+
+def test_numbers_at_every_edge(spark):
+    text = "5ms\n7 K, 1.5 million x 3s é 4sé 9sec 2 %" + "z" * 40 + "8fps"
+    got = [(r.pos, r.raw_value, r.value, r.key) for r in cl.number_claims(frame(spark, page("a.md", text), page("b.md", None), page("c.md", ""), page("index.md", "5%"))).orderBy("pos").collect()]
+    assert [(g[1], g[2]) for g in got] == [("5", 0.005), ("7", 7000.0), ("1.5", 1.5e6), ("3", 3.0), ("4", 4.0), ("2", 2.0), ("8", 8.0)]
+    assert got[0][3].startswith("nms n k, n count x ns é nsé") and got[-1][3] == "z" * 30 + "nfps"
 
 
 def test_graph(spark):

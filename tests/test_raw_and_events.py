@@ -61,12 +61,39 @@ def test_chunks_and_packs(spark):
     got = [(r.seg_id, r.chunk_no, r.n_lines, r.text.split("\n")[0]) for r in c.orderBy("seg_id", "chunk_no").collect()]
     assert got == [(1, 0, 10, "h"), (1, 1, 11, "h"), (1, 2, 6, "h"), (2, 0, 1, "one"), (4, 0, 1, "")]
     packs = {(r.seg_id, r.chunk_no): r.pack_no for r in ex.packs(c, 17).collect()}
-    assert packs == {(1, 0): 1, (1, 1): 2, (1, 2): 2, (2, 0): 3, (4, 0): 1}
+    assert packs == {(1, 0): 1, (1, 1): 2, (1, 2): 2, (2, 0): 3, (4, 0): 3}
     assert {(r.seg_id, r.chunk_no): r.pack_no for r in ex.packs(c, 1).collect()}[(1, 2)] == 3
     flat = {r.file: r.text for r in ex.flat_text(spark.createDataFrame(rows, SEG)).collect()}
     assert flat["f"].startswith("--- Sheet: S ---\nh") and flat["f"].endswith("--- Slide 3 ---\none")
 
 
+def test_packs_span_files_and_tasks_as_in_one_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), f"f{rng.randint(0, 5)}", i % 7, i, 0, rng.choice([0, 1, 1, 3, 8, 30])) for i in range(400)]
+    chunks = spark.createDataFrame(rows, "topic string, file string, seg_no int, seg_id long, chunk_no int, n_lines int").repartition(5)
+    want = {}
+    for topic in ("a", "b", None):
+        used, pack = 0, 1
+        for r in sorted((r for r in rows if r[0] == topic), key=lambda r: r[1:5]):
+            if used and used + r[5] > 12:
+                used, pack = 0, pack + 1
+            used += r[5]
+            want[r[3]] = pack
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed = ex.packs(chunks, 12)
+        assert packed.select(F.spark_partition_id()).distinct().count() > 3
+        assert {r.seg_id: r.pack_no for r in packed.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert ex.packs(chunks.limit(0), 12).count() == 0
+
+
 def test_html_and_topics(spark):
     df = spark.createDataFrame([("<p>a</p><SCRIPT x>no</script>\n\n\n\n<b>b</b>", "a b/c//d/"), (None, "../x")], "h string, t string")
     got = [tuple(r) for r in df.select(ex.html_text(F.col("h")), ex.topic_slug(F.col("t"))).collect()]

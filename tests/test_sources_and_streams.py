@@ -172,17 +172,34 @@ def test_batch_isolates_errors():
         st.run_batch([("x", int)] * 51)
 
 
+GOOD = {
+    "format": "kb-package", "format_version": "0.1", "name": "pay.roll-1", "version": "1", "license": "MIT", "owner": "team", "created_at": "2026-06-20", "description": "",
+    "source_policy": {"raw_immutable": True, "require_sha256": True}, "wiki_policy": {"require_sources_for_grounded_pages": True, "allow_synthesis_pages": False, "stale_after_days": 90},
+    "evidence_policy": {"allow_unsupported_pages": "warn", "require_abstain_signal": True}, "metadata": {"anything": [1]},
+}
+
+
+def faults(**changed):
+    return sorted(i[1] for i in pk.manifest_issues({k: v for k, v in (GOOD | changed).items() if v is not ...}, "kb-package"))
+
+
 def test_manifest():
-    good = {"name": "kb", "version": "1.0.0", "policies": {"raw_immutable": True, "unsupported_pages": "warn"}}
-    assert pk.manifest_issues(good) == [] and pk.manifest_issues(None)[0][0] == "error"
-    bad = good | {"name": "Bad Name", "zzz": 1, "created": "x", "policies": {"raw_immutable": False, "unsupported_pages": "maybe"}}
-    assert {i[1] for i in pk.manifest_issues(bad)} == {"name", "zzz", "created", "policies.raw_immutable", "policies.unsupported_pages"}
+    import datetime
+
+    assert faults() == faults(format_version=0.1, created_at=datetime.date(2026, 6, 20), generator={"name": "x", "version": "1"}) == faults(created_at="2026-06-20T10:00:00Z", metadata=...) == []
+    assert pk.manifest_issues(None)[0][2] == "manifest is missing" and pk.manifest_issues([1])[0][2] == "manifest is no mapping"
+    assert faults(zzz=1, owner=..., license=" ", format="other", format_version=1, name="-bad name", created_at="20 June", description=3) == ["created_at", "description", "format", "format_version", "license", "name", "owner", "zzz"]
+    assert faults(source_policy={"raw_immutable": False, "require_sha256": "yes", "x": 1}) == ["source_policy.raw_immutable", "source_policy.require_sha256", "source_policy.x"]
+    assert faults(wiki_policy={"require_sources_for_grounded_pages": 1, "stale_after_days": 0}) == ["wiki_policy.allow_synthesis_pages", "wiki_policy.require_sources_for_grounded_pages", "wiki_policy.stale_after_days"]
+    assert faults(evidence_policy={"allow_unsupported_pages": "maybe", "require_abstain_signal": None}) == ["evidence_policy.allow_unsupported_pages", "evidence_policy.require_abstain_signal"]
+    assert faults(generator=[], source_policy=..., wiki_policy=None, metadata=[]) == ["generator", "metadata", "source_policy", "wiki_policy"]
 
 
 def test_conformance(spark):
     counts = spark.createDataFrame([(3, 0, 2, 1)], "unsupported long, broken_links long, raws_without_hash long, stale long")
-    got = {r.kind: r.severity for r in pk.conformance(counts, {"unsupported_pages": "reject", "raw_immutable": True}).collect()}
-    assert got == {"unsupported": "error", "raws_without_hash": "error", "stale": "info"}
+    for level, severity in (("allow", "info"), ("warn", "warning"), ("reject", "error")):
+        got = {r.kind: r.severity for r in pk.conformance(counts, GOOD | {"evidence_policy": {"allow_unsupported_pages": level}}).collect()}
+        assert got == {"unsupported": severity, "raws_without_hash": "error", "stale": "info"}
 
 
 def test_evaluation_and_plugins(spark):
