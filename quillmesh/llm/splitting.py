@@ -8,6 +8,13 @@ permissible piece lengths, then the start steps back by the overlap.
 The JVM side filters the oversized rows by code point count before any text reaches
 Python; there is no shuffle, and the eight limits travel as a broadcast.
 
+The column headers of a sheet stand before every piece but the first. Headers that leave a
+piece no room beside them are cut themselves by the same rule: pieces of headers alone
+come first (`start` = `end` = 0), so none of their text is lost.
+
+No piece starts or ends inside a character of several code points, unless one such
+character is longer than the limit; an overlap that would start there starts earlier.
+
 Defined results: null, empty and fitting texts give no piece. A limit that is null or
 below 1 never splits. An overlap not below the room of a piece is lowered to room - 1, a
 negative one counts as 0. Repeated rows are split each on its own. Columns of the input
@@ -33,6 +40,8 @@ _WIDE_STOPS = np.array([ord(c) for c in "。！？．"], np.uint32)
 _PAUSES = np.array([ord(c) for c in ",;:–—"], np.uint32)
 _WIDE_PAUSES = np.array([ord(c) for c in "、，；："], np.uint32)
 _CLOSERS = np.array([ord(c) for c in "\"')]}»”’"], np.uint32)
+#: Share of its room that a piece has at least; below it a stronger boundary does not make up for a short piece.
+LEAST_SHARE = 0.5
 #: Positions that one range-maximum table covers; longer texts get one table after another.
 TABLE_SPAN = 1 << 16
 
@@ -104,33 +113,39 @@ class RangeMaximum:
         return int(max(level[a], level[b - (1 << k) + 1])) % self.n
 
 
-def cut_points(text: str, limit: int, overlap: int, header: int = 0, quoted_cells: bool = False) -> list[tuple[int, int]]:
-    """Start and end of each piece of `text`; pieces after the first leave room for `header` code points."""
+def cut_points(text: str, limit: int, overlap: int, header: int = 0, quoted_cells: bool = False, least_share: float = LEAST_SHARE) -> list[tuple[int, int]]:
+    """Start and end of each piece of `text`; pieces after the first leave room for `header` code points.
+
+    A piece has at least `least_share` of its room, and always more than the overlap.
+    """
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(points)
     value = strengths(points, quoted_cells)
-    pieces, start, base, index = [], 0, -1, None
+    pieces, start, base, index, reached = [], 0, -1, None, 0
     while True:
         room = limit if start == 0 else max(1, limit - header)
         if n - start <= room:
             pieces.append((start, n))
             return pieces
-        back = min(max(0, overlap), room - 1)
-        low, high = start + max(back + 1, (room + 1) // 2), start + room
+        back = min(max(0, overlap), max(1, limit - header) - 1)
+        low, high = max(start + min(room, max(back + 1, int(np.ceil(room * least_share)))), reached + 1), start + room
         if index is None or low < base or high >= base + index.n:
             base = low
             index = RangeMaximum(value[base : base + TABLE_SPAN + room], limit)
         end = base + index.argmax(low - base, high - base)
         pieces.append((start, end))
-        start = end - back
+        after = end - back
+        while after > start and value[after] == INSIDE:  # the overlap starts with a whole character
+            after -= 1
+        onward = after + max(1, limit - header) > end
+        start, reached = after if onward else end - back, end
 
 
-def split_segments(segments: DataFrame, limits: DataFrame) -> DataFrame:
+def split_segments(segments: DataFrame, limits: DataFrame, least_share: float = LEAST_SHARE) -> DataFrame:
     """Pieces of every segment whose text has more code points than its format allows.
 
     The piece text of a sheet starts with the column headers (and a line end) if it does
-    not already, as long as they leave at least half of the limit; together they stay
-    within the limit. `start` and `end` count code points of the segment's text.
+    not already; together they stay within the limit. `start` and `end` count code points of the segment's text.
     """
     known = limits.select(F.col("format").alias("_format"), F.col("max_chars").alias("_limit"), F.col("overlap_chars").alias("_overlap"))
     other = known.where("_format = 'other'").select(F.struct("_limit", "_overlap").alias("_else")).limit(1)
@@ -144,22 +159,31 @@ def split_segments(segments: DataFrame, limits: DataFrame) -> DataFrame:
         .where((F.col("_limit") >= 1) & (F.char_length("text") > F.col("_limit")))
         .select("seg_id", "file", "seg_no", "page", "sheet", "slide", "text", "column_headers", "_format", "_limit", "_overlap")
     )
-    return sized.mapInPandas(_split_batches, PIECES)
+    return sized.mapInPandas(lambda batches: _split_batches(batches, least_share), PIECES)
+
+
+def pieces_of(text: str, limit: int, overlap: int, headers: str | None, sheet: bool, least_share: float = LEAST_SHARE) -> list[tuple[int, int, str]]:
+    """(start, end, piece) of one text that is over its limit."""
+    header = headers if sheet and headers else ""
+    alone = []
+    if header and len(header) + 1 >= limit:  # no room for text beside them
+        alone = [(0, 0, header[a:b]) for a, b in cut_points(header, limit, overlap, 0, sheet, least_share)] if not text.startswith(header) else []
+        header = ""
+    out = []
+    for i, (a, b) in enumerate(cut_points(text, limit, overlap, len(header) + 1 if header else 0, sheet, least_share)):
+        piece = text[a:b]
+        out.append((a, b, header + "\n" + piece if header and i and not piece.startswith(header) else piece))
+    return alone + out
 
 
-def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _split_batches(batches: Iterator[pd.DataFrame], least_share: float) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
             limit, overlap = int(r[9]), 0 if pd.isna(r[10]) else int(r[10])
             sheet = r[4] is not None or r[8] in ("xlsx", "xls", "csv", "tsv")
-            header = r[7] if sheet and isinstance(r[7], str) and r[7] and 2 * (len(r[7]) + 1) <= limit else ""
-            cuts = cut_points(r[6], limit, overlap, len(header) + 1 if header else 0, sheet)
-            for i, (a, b) in enumerate(cuts):
-                piece = r[6][a:b]
-                if header and i and not piece.startswith(header):
-                    piece = header + "\n" + piece
-                out.append((*r[:6], i + 1, len(cuts), a, b, piece))
+            cuts = pieces_of(r[6], limit, overlap, r[7] if isinstance(r[7], str) else None, sheet, least_share)
+            out += [(*r[:6], i, len(cuts), *c) for i, c in enumerate(cuts, 1)]
         frame = pd.DataFrame(out, columns=["seg_id", "file", "seg_no", "page", "sheet", "slide", "piece_no", "n_pieces", "start", "end", "piece"])
         for c in ("seg_no", "page", "slide"):
             frame[c] = frame[c].astype("Int32")

@@ -52,16 +52,17 @@ def test_encode_frame(spark, exact):
 
 def brute_cuts(text, limit, overlap, header, quoted):
     value = splitting.strengths(np.frombuffer(text.encode("utf-32-le"), np.uint32), quoted)
-    pieces, start = [], 0
+    pieces, start, last, later = [], 0, 0, max(1, limit - header)
     while True:
-        room = limit if not start else max(1, limit - header)
+        room = limit if not start else later
         if len(text) - start <= room:
             return [*pieces, (start, len(text))]
-        back = min(max(0, overlap), room - 1)
-        window = range(start + max(back + 1, (room + 1) // 2), start + room + 1)
-        end = max(window, key=lambda i: (value[i], i))
-        pieces.append((start, end))
-        start = end - back
+        back = min(max(0, overlap), later - 1)
+        window = range(max(start + min(room, max(back + 1, (room + 1) // 2)), last + 1), start + room + 1)
+        last = max(window, key=lambda i: (value[i], i))
+        pieces.append((start, last))
+        whole = [i for i in range(last - back, start - 1, -1) if value[i] != splitting.INSIDE]
+        start = whole[0] if whole and whole[0] + later > last else last - back
 
 
 @settings(max_examples=200, deadline=None)
@@ -70,7 +71,7 @@ def test_cuts_equal_brute_force(text, limit, overlap, header, quoted):
     got = splitting.cut_points(text, limit, overlap, header, quoted)
     assert got == brute_cuts(text, limit, overlap, header, quoted)
     assert got[0][0] == 0 and got[-1][1] == len(text)
-    assert all(b - a <= limit for a, b in got) and all(y[0] <= x[1] and y[0] > x[0] for x, y in zip(got, got[1:]))
+    assert all(b - a <= limit for a, b in got) and all(y[0] <= x[1] and y[1] > x[1] for x, y in zip(got, got[1:]))
 
 
 def test_long_text_uses_many_tables():
@@ -86,6 +87,28 @@ def test_boundaries():
     assert splitting.cut_points("é" * 5, 3, 0) == [(0, 2), (2, 4), (4, 6), (6, 8), (8, 10)]
 
 
+def test_overlap_starts_with_a_whole_character():
+    text = "aa e\u0301e\u0301e\u0301 bbb cc e\u0301e\u0301 d"
+    for limit in range(6, 14):
+        for overlap in range(1, 5):
+            assert all(a == 0 or text[a] != "\u0301" for a, _ in splitting.cut_points(text, limit, overlap))
+
+
+def test_short_pieces_where_the_share_allows():
+    text = "aaaa\fbbbb cccc dddd"
+    assert splitting.cut_points(text, 15, 0)[0] == (0, 15) and splitting.cut_points(text, 15, 0, least_share=0.2)[0] == (0, 5)
+
+
+def test_headers_of_any_length_are_kept():
+    for header in ("a,b", "long,column,header", "x" * 39, "many words in a header " * 5):
+        got = splitting.pieces_of("row\n" * 40, 40, 3, header, True)
+        assert all(len(p) <= 40 for _, _, p in got)
+        text = [(a, b) for a, b, _ in got if b]
+        assert text[0][0] == 0 and text[-1][1] == 160 and all(y[0] <= x[1] for x, y in zip(text, text[1:]))
+        alone = [p for _, b, p in got if not b]
+        assert "".join(alone).replace(" ", "").startswith(header.replace(" ", "")[:20]) if alone else all(p.startswith(header + "\n") for _, _, p in got[1:])
+
+
 SEG = "seg_id long, file string, seg_no int, page int, sheet string, slide int, text string, column_headers string, piece int, format string"
 LIM = "format string, max_chars int, overlap_chars int"
 
