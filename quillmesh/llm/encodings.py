@@ -9,14 +9,15 @@ of a record's spans that are garbled is latent too, so any number of correct spa
 outvote a garbled sentence among them; the model is fitted at one middle share.
 
 E-step: posterior of every chain per record. M-step: expected trigram counts of the
-intended text and expected chains per source and field. Spans are taken from whole texts,
-once, and checkpointed; each pass reads them in Arrow batches, sums its counts per task
-and meets in one aggregation over a fixed number of buckets. The driver gets at most
+intended text and expected chains per source and field, until these settle. Spans are taken from whole texts,
+once, and checkpointed; each pass reads them in Arrow batches, scores the distinct spans of a
+worker once for all records, sums its counts per task and meets in one aggregation over a fixed number of buckets. The driver gets at most
 `MODEL_BUCKETS` counts and `PRIOR_BUCKETS` x chains expectations, whatever the corpus.
 
-A record is garbled if the posterior of "none" falls below one half, or if it holds the
-replacement character or C1 controls, which no intended text holds: there the original
-may be past restoring, and what can be restored is.
+A record is garbled if the posterior of "none" falls below one half. Replacement characters
+and C1 controls, which no intended text holds, speak for every chain alike and for one of their own, "lost",
+whose original is past restoring. Encodings whose bytes are all
+ASCII (UTF-7, ISO-2022-JP) leave no span and are not found.
 
 Defined results: null, empty, blank and pure ASCII texts are never cases and are given
 back as they are. Repeated rows weigh as often as they occur. Sources differing in case,
@@ -25,9 +26,7 @@ blanks or `_` for `-` pool together; a null source is a source of its own.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,15 +36,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
+from .shingles import mix
 
-MODEL_BUCKETS, PRIOR_BUCKETS = 1 << 18, 256
-ROUNDS = 4
+MODEL_BUCKETS, PRIOR_BUCKETS = 1 << 20, 256
+#: Passes of EM end when the expected chains move by less than this share of all records, or after so many.
+SETTLED, MOST_ROUNDS = 0.002, 8
+#: Rounds in which only the priors are learnt.
+PRIORS_FIRST = 2
 #: Shares of garbled spans a garbled record may have, equally likely beforehand: which one holds is latent per record and chain.
 SHARES = np.array([0.003, 0.015, 0.06, 0.25, 0.5, 0.9])
 #: While the model is fitted only records garbled by about half teach it: at low shares a few correct words could turn into their garbled form round by round.
 FIT_SHARES = np.array([0.5])
 #: Prior weight of "none" and of all chains together, as pseudo records of each source and field.
 PRIOR_CLEAN, PRIOR_CHAINS = 12.0, 0.6
+#: Log odds of a span with a replacement character or C1 control under "lost" against none: no intended text holds them.
+LOST_ODDS = 12.0
+#: How far a span that is valid UTF-8 throughout is trusted before there is a model.
+DOUBT = 0.003
+#: Expected counts travel as whole numbers of this fraction, so that their sum does not depend on the order of tasks.
+UNIT = 1 << 16
+#: Distinct spans whose candidates a worker keeps from pass to pass, and records that it judges at once; matters of speed only.
+KNOWN_SPANS, AT_ONCE = 200_000, 512
 #: A candidate must be more likely than its span by this factor (in logs) to stand in the repaired text.
 MARGIN = 1.0
 
@@ -55,14 +66,15 @@ _WRECK = re.compile("[�\x80-\x84\x86-\x9f]")
 _UTF8_READ_AS = ("western", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859_2", "koi8_r", "cp866", "cp1253", "cp1254", "iso8859_15", "cp852", "iso8859_5", "mac_cyrillic", "cp1257", "cp932", "gbk")
 _BYTES = (
     ("western", "cp437"), ("western", "cp850"), ("western", "mac_roman"), ("western", "cp1250"), ("western", "iso8859_2"), ("western", "cp852"), ("western", "cp1251"), ("western", "koi8_r"),
-    ("western", "cp866"), ("western", "iso8859_5"), ("western", "cp932"), ("western", "euc_jp"), ("mac_roman", "western"), ("mac_roman", "cp437"), ("cp437", "western"), ("cp437", "mac_roman"), ("cp437", "cp866"), ("cp437", "cp932"), ("cp850", "western"), ("cp850", "cp1250"),
+    ("western", "cp866"), ("western", "iso8859_5"), ("western", "cp932"), ("western", "euc_jp"), ("western", "big5"), ("western", "gbk"), ("mac_roman", "western"), ("mac_roman", "cp437"), ("cp437", "western"), ("cp437", "mac_roman"), ("cp437", "cp866"), ("cp437", "cp932"), ("cp850", "western"), ("cp850", "cp1250"),
     ("cp1250", "western"), ("cp1250", "cp852"), ("cp1250", "iso8859_2"), ("iso8859_2", "cp1250"), ("iso8859_2", "western"), ("cp852", "cp1250"), ("cp852", "western"), ("cp1251", "koi8_r"), ("cp1251", "cp866"), ("cp1251", "western"), ("cp1251", "mac_cyrillic"), ("cp1251", "iso8859_5"), ("koi8_r", "cp1251"), ("koi8_r", "cp866"),
     ("cp866", "cp1251"), ("cp866", "koi8_r"), ("mac_cyrillic", "cp1251"), ("iso8859_5", "cp1251"), ("mac_roman", "cp932"), ("cp1253", "western"), ("cp1254", "western"), ("western", "cp1254"), ("western", "cp1257"),
 )
 CHAINS = tuple((r, "utf_8", 1) for r in _UTF8_READ_AS) + (("western", "utf_8", 2), ("mac_roman", "utf_8", 2), ("cp1250", "utf_8", 2), ("cp1251", "utf_8", 2), ("cp437", "utf_8", 2)) + tuple((r, w, 1) for r, w in _BYTES)
-NAMES = ("none", *(f"{w} read as {r}" + " twice" * (n == 2) for r, w, n in CHAINS))
+NAMES = ("none", *(f"{w} read as {r}" + " twice" * (n == 2) for r, w, n in CHAINS), "lost")
+LOST = len(CHAINS) + 1
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
-_WIDE_CODECS = ("cp932", "euc_jp", "gbk")
+_WIDE_CODECS = ("cp932", "euc_jp", "gbk", "big5")
 
 
 @lru_cache(maxsize=64)
@@ -129,6 +141,18 @@ def _utf8(span: str, back: dict[str, int]) -> str:
     return "".join(out)
 
 
+def _all_utf8(span: str, read: str) -> bool:
+    """Whether the bytes of the whole span are valid UTF-8."""
+    if read in _WIDE_CODECS:
+        return all(_wide(run, read) != run for run in _RUN.findall(span))
+    back = _bytes_of(read)
+    raw = [back.get(c) for c in span]
+    try:
+        return None not in raw and bool(bytes(raw).decode("utf_8"))
+    except UnicodeError:
+        return False
+
+
 def _wide(run: str, read: str) -> str:
     try:
         return run.encode(read).decode("utf_8")
@@ -153,113 +177,163 @@ def _to_wide(span: str, back: dict[str, int], written: str) -> str:
     return new if sum(c >= "　" for c in new) * 2 >= len(new) else span
 
 
-@lru_cache(maxsize=200_000)
+#: Chains by what a span must have for them to change it: two characters outside ASCII in a row, half of its characters outside ASCII, or nothing.
+_PAIRED = frozenset(i for i, (r, w, _) in enumerate(CHAINS, 1) if w == "utf_8" and r not in _WIDE_CODECS)
+_DENSE = frozenset(i for i, (r, w, _) in enumerate(CHAINS, 1) if w in _WIDE_CODECS and r not in _WIDE_CODECS)
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
+
+
 def candidates(span: str) -> tuple[tuple[int, str], ...]:
     """(number of the chain, candidate) of every chain that changes the span; equal candidates keep their first chain."""
     seen, out = {span}, []
+    foreign = "".join(_RUN.findall(span))
+    paired, dense = _TWO.search(span) is not None, 2 * len(foreign) >= len(span)
+    unknown: set[str] = set()  # readers that lack every character
     for i, chain in enumerate(CHAINS, 1):
+        if (i in _PAIRED and not paired) or (i in _DENSE and not dense) or chain[0] in unknown:
+            continue
         new = undo(span, chain)
         if new not in seen:
             seen.add(new)
             out.append((i, new))
+        elif new == span and chain[0] not in _WIDE_CODECS and not any(c in _bytes_of(chain[0]) for c in foreign):
+            unknown.add(chain[0])
     return tuple(out)
 
 
-def _codes(text: str) -> list[int]:
-    """Characters as classes: digits alike, ASCII capitals and signs kept, two starts before the span."""
-    return [2, 2, *(48 if 48 <= (o := ord(c)) <= 57 else o for c in text), 3]
-
-
-_M = (1 << 61) - 1
-
-
-def _slots(text: str) -> list[tuple[int, int, int, int]]:
-    """Bucket numbers of (trigram, its context, bigram, its context) at each character near one outside ASCII."""
-    c, out = _codes(text), []
-    for i in range(2, len(c)):
-        x, y, z = c[i - 2], c[i - 1], c[i]
-        if x > 127 or y > 127 or z > 127:
-            out.append(((x * 1_000_003 + y) * 1_000_033 + z + 11, (x * 1_000_003 + y) * 1_000_033 + 1_999_993, y * 7_000_003 + z * 31 + 5, y * 7_000_003 + 29))
-    return [tuple((v * 0x9E3779B97F4A7C15 % _M) % MODEL_BUCKETS for v in s) for s in out]
-
-
-class Model:
-    """Trigram likelihoods by expected counts in hashed buckets."""
-
-    def __init__(self, counts: np.ndarray):
-        self.n = counts
-        self.floor = math.log(1e-5)
-
-    def log(self, text: str) -> float:
-        n, total = self.n, 0.0
-        for t, tc, b, bc in _slots(text):
-            low = (n[b] + 2e-3) / (n[bc] + 200.0)
-            total += math.log((n[t] + 4.0 * low) / (n[tc] + 4.0))
-        return total
-
-
-def count(text: str, weight: float, into: dict[int, float]) -> None:
-    for t, tc, b, bc in _slots(text):
-        into[t] += weight
-        into[tc] += weight
-        into[b] += weight
-        into[bc] += weight
-
-
-def _weight_at_first(span: str) -> float:
-    """How far a span is trusted before there is a model: valid UTF-8 sequences and wrecks hardly are."""
-    if _WRECK.search(span):
-        return 0.0
-    return 0.03 if any(CHAINS[i - 1][1] == "utf_8" for i, _ in candidates(span)) else 1.0
+def _mixed(x: np.ndarray) -> np.ndarray:
+    return (mix(x) & np.uint64(MODEL_BUCKETS - 1)).astype(np.int32)
+
+
+def slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers (trigram, its context, bigram, its context) at each character near one outside ASCII, and how many rows each text has.
+
+    Digits count alike; two starts stand before a text and an end behind it.
+    """
+    codes = np.frombuffer("".join(f"\2\2{t}\3" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.where((codes >= 48) & (codes <= 57), np.uint64(48), codes)
+    sizes = np.array([len(t) + 3 for t in texts], np.int64)
+    of = np.repeat(np.arange(len(texts)), sizes)[2:]
+    x, y, z = codes[:-2], codes[1:-1], codes[2:]
+    starts = np.cumsum(sizes) - sizes
+    inside = np.ones(len(codes), bool)
+    inside[starts] = inside[starts + 1] = False
+    keep = inside[2:] & ((x > 127) | (y > 127) | (z > 127))
+    x, y, z, of = x[keep], y[keep], z[keep], of[keep]
+    pair = x * np.uint64(1_000_003) + y
+    rows = np.stack([_mixed(pair * np.uint64(1_000_033) + z + np.uint64(1 << 40)), _mixed(pair + np.uint64(1 << 50)), _mixed(y * np.uint64(7_000_003) + z + np.uint64(1 << 52)), _mixed(y + np.uint64(1 << 54))], axis=1)
+    return rows, np.bincount(of, minlength=len(texts))
+
+
+class Spans:
+    """Distinct spans of a worker with their candidates and bucket numbers in flat arrays."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.own, self.first, self.wreck, self.doubted = (np.zeros(0, np.int64) for _ in range(4))
+        self.first = np.zeros(1, np.int64)
+        self.chain, self.text_of, self.bare = (np.zeros(0, np.int64) for _ in range(3))  # `bare` candidates have no text of their own
+        self.texts: list[str] = []
+        self.rows, self.ends = np.zeros((0, 4), np.int32), np.zeros(1, np.int64)
+
+    def number(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(record, span) numbers of every span of `found`."""
+        at = self.at
+        new = list(dict.fromkeys(s for spans in found for s in spans if s not in at))
+        if new:
+            self._add(new)
+        flat = np.array([at[s] for spans in found for s in spans], np.int64)
+        return np.repeat(np.arange(len(found)), [len(x) for x in found]), flat
+
+    def _add(self, new: list[str]) -> None:
+        texts, own, chain, text_of, bare, count, wreck, doubted = [], [], [], [], [], [], [], []
+        base = len(self.texts)
+        for s in new:
+            self.at[s] = len(self.at)
+            own.append(base + len(texts))
+            texts.append(s)
+            lost = _WRECK.search(s) is not None
+            changed = candidates(s)
+            for i, t in changed:
+                chain.append(i)
+                text_of.append(base + len(texts))
+                texts.append(t)
+            of = {i for i, _ in changed}
+            more = [i for i in range(1, LOST + 1) if lost and i not in of]  # what is lost speaks for every chain
+            chain += more
+            text_of += [own[-1]] * len(more)
+            bare += [False] * len(changed) + [True] * len(more)
+            count.append(len(changed) + len(more))
+            wreck.append(lost)
+            doubted.append(any(CHAINS[i - 1][1] == "utf_8" and _all_utf8(s, CHAINS[i - 1][0]) for i, _ in changed))
+        rows, sizes = slots(texts)
+        self.texts += texts
+        self.rows, self.ends = np.concatenate([self.rows, rows]), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        join = lambda old, more: np.concatenate([old, np.array(more, np.int64)])
+        self.own, self.chain, self.text_of, self.bare = join(self.own, own), join(self.chain, chain), join(self.text_of, text_of), join(self.bare, bare)
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.array(count, np.int64))])
+        self.wreck, self.doubted = join(self.wreck, wreck), join(self.doubted, doubted)
+
+    def counts(self, weights: np.ndarray) -> np.ndarray:
+        """Expected counts by bucket for expected numbers of texts."""
+        each = np.repeat(weights, np.diff(self.ends))
+        return sum(np.bincount(self.rows[:, k], each, MODEL_BUCKETS) for k in range(4)) if len(self.rows) else np.zeros(MODEL_BUCKETS)
+
+
+_KEPT: list[Spans] = []
+
+
+def _spans_kept() -> Spans:
+    """The spans of this worker, begun anew when they have grown too many."""
+    if not _KEPT or len(_KEPT[0].at) > KNOWN_SPANS:
+        _KEPT[:] = [Spans()]
+    return _KEPT[0]
 
 
 class Judge:
-    """Posterior of the chains of a record."""
-
-    def __init__(self, model: Model, prior: np.ndarray, shares: np.ndarray = SHARES):
-        self.model, self.prior, self.shares, self.known, self.terms = model, np.log(prior), shares, {}, {}
-
-    def ratios(self, span: str) -> tuple[tuple[int, str, float], ...]:
-        """(chain, candidate, log likelihood ratio) for the chains that change the span."""
-        r = self.known.get(span)
-        if r is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-                self.terms.clear()
-            own = None
-            out = []
-            for i, new in candidates(span):
-                own = self.model.log(span) if own is None else own
-                out.append((i, new, self.model.log(new) - own))
-            r = self.known[span] = tuple(out)
-        return r
-
-    def evidence(self, spans: list[str]) -> np.ndarray:
-        """Log likelihood ratio of each chain (row) under each share (column), over all spans."""
-        score = np.zeros((len(NAMES), len(self.shares)))
-        for s, n in Counter(spans).items():
-            ratios = self.ratios(s)
-            if not ratios:
-                continue
-            t = self.terms.get(s)
-            if t is None:
-                odds = np.exp(np.minimum([d for _, _, d in ratios], 60.0))
-                t = self.terms[s] = np.array([i for i, _, _ in ratios]), np.log(1 - self.shares + odds[:, None] * self.shares)
-            score[t[0]] += n * t[1]
-        return score
-
-    def posterior(self, spans: list[str], source: int) -> tuple[dict[int, float], dict[int, float]]:
-        """(probability, log odds that a span is garbled) of the chains that the spans speak for; 0 is none."""
-        score = self.evidence(spans)
-        top = score.max(axis=1)
-        by_share = np.exp(score - top[:, None])
-        whole = top + np.log(by_share.mean(axis=1))
-        prior = self.prior[source]
-        logs = {0: float(prior[0])} | {i: float(whole[i] + prior[i]) for i in np.flatnonzero(whole > 0).tolist()}
-        best = max(logs.values())
-        total = sum(math.exp(v - best) for v in logs.values())
-        share = by_share @ self.shares / by_share.sum(axis=1)
-        return {i: math.exp(v - best) / total for i, v in logs.items()}, {i: math.log(share[i] / (1 - share[i])) for i in logs if i}
+    """Posterior of the chains of records under a model of trigrams by expected counts in hashed buckets."""
+
+    def __init__(self, counts: np.ndarray, prior: np.ndarray, shares: np.ndarray = SHARES):
+        self.n, self.prior, self.shares = counts, np.log(prior), shares
+        self.spans = _spans_kept()
+        self.logs, self.ratio, self.terms = np.zeros(0), np.zeros(0), np.zeros((0, len(shares)))
+
+    def _score(self) -> None:
+        """Log likelihood of texts, and log ratio and evidence of candidates, that came since."""
+        s, done = self.spans, len(self.logs)
+        if done < len(s.texts):
+            rows = s.rows[s.ends[done] : s.ends[-1]]
+            n = self.n.astype(float)
+            low = (n[rows[:, 2]] + 2e-3) / (n[rows[:, 3]] + 200.0)
+            each = np.concatenate([[0.0], np.cumsum(np.log((n[rows[:, 0]] + 4.0 * low) / (n[rows[:, 1]] + 4.0)))])
+            ends = s.ends[done:] - s.ends[done]
+            self.logs = np.concatenate([self.logs, each[ends[1:]] - each[ends[:-1]]])
+        have = len(self.ratio)
+        if have < len(s.chain):
+            of = np.repeat(np.arange(len(s.own)), np.diff(s.first))[have:]
+            ratio = np.minimum(self.logs[s.text_of[have:]] - self.logs[s.own[of]], 60.0)
+            ratio = np.where(s.wreck[of] > 0, np.maximum(ratio, LOST_ODDS), ratio)
+            self.ratio = np.concatenate([self.ratio, ratio])
+            self.terms = np.concatenate([self.terms, np.log(1 - self.shares + np.exp(ratio)[:, None] * self.shares)])
+
+    def posterior(self, found: list[list[str]], sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+        """Per record and chain the probability and the log odds that a span is garbled; and (record, span) of every span with (span at, candidate) of every candidate."""
+        n, s = len(NAMES), self.spans
+        record, span = s.number(found)
+        self._score()
+        many = s.first[span + 1] - s.first[span]
+        at = np.repeat(np.arange(len(span)), many)
+        candidate = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + s.first[span][at]
+        cell = record[at] * n + s.chain[candidate]
+        score = np.stack([np.bincount(cell, self.terms[candidate, k], len(found) * n) for k in range(len(self.shares))], axis=1).reshape(len(found), n, -1)
+        top = score.max(axis=2)
+        by_share = np.exp(score - top[:, :, None])
+        whole = top + np.log(by_share.mean(axis=2))
+        logs = np.where(whole > 0, whole + self.prior[sources], -np.inf)
+        logs[:, 0] = self.prior[sources, 0]
+        p = np.exp(logs - logs.max(axis=1, keepdims=True))
+        share = by_share @ self.shares / by_share.sum(axis=2)
+        return p / p.sum(axis=1, keepdims=True), np.log(share / (1 - share)), (record, span, at, candidate)
 
 
 def _source_bucket(field: str):  # noqa: ANN202
@@ -268,19 +342,16 @@ def _source_bucket(field: str):  # noqa: ANN202
 
 
 def spans_of(records: DataFrame, id_col: str, text_col: str, field: str) -> DataFrame:
-    """(id, bucket, spans, wrecked) of the records that hold a character outside ASCII."""
+    """(id, bucket, spans) of the records that hold a character outside ASCII."""
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            found = [_SPAN.findall(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string())), pa.array([bool(_WRECK.search(t)) for t in texts], pa.bool_())], [id_col, "bucket", "spans", "wrecked"]
-            )
+            found = [_SPAN.findall(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], [id_col, "bucket", "spans"])
 
     wanted = spread(records).where(F.col(text_col).rlike(r"[^\x00-\x7f]"))
-    return wanted.select(id_col, _source_bucket(field).alias("bucket"), text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket int, spans array<string>, wrecked boolean")
+    return wanted.select(id_col, _source_bucket(field).alias("bucket"), text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket int, spans array<string>")
 
 
 def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -288,48 +359,39 @@ def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tu
     shared = spans.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = None if shared.value is None else Judge(Model(shared.value[0]), shared.value[1], FIT_SHARES)
-        counts: dict[int, float] = defaultdict(float)
-        chains: dict[int, float] = defaultdict(float)
-        texts: dict[str, float] = defaultdict(float)
+        known = _spans_kept()
+        by = None if shared.value is None else Judge(*shared.value, FIT_SHARES)
+        texts = np.zeros(0)
+        chains = np.zeros((PRIOR_BUCKETS, len(NAMES)))
         for batch in batches:
-            for bucket, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sources, everything = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for start in range(0, len(everything), AT_ONCE):
+                found = everything[start : start + AT_ONCE]
                 if by is None:
-                    for s in found:
-                        texts[s] += _weight_at_first(s)
-                else:
-                    post, odds = by.posterior(found, bucket)
-                    for i, p in post.items():
-                        chains[MODEL_BUCKETS + bucket * len(NAMES) + i] += p
-                    for s in found:
-                        if (ratios := by.ratios(s)) and len(post) > 1:
-                            rest = 1.0
-                            for i, new, d in ratios:
-                                if (p := post.get(i, 0.0)) > 1e-3:
-                                    p *= 1 / (1 + math.exp(-max(min(d + odds[i], 60.0), -60.0)))
-                                    texts[new] += p
-                                    rest -= p
-                            texts[s] += max(rest, 0.0) * (not _WRECK.search(s))
-                        else:
-                            texts[s] += 1.0 * (not _WRECK.search(s))
-                if len(texts) > 100_000:
-                    for t, w in texts.items():
-                        count(t, w, counts)
-                    texts.clear()
-        for t, w in texts.items():
-            if w > 0:
-                count(t, w, counts)
-        counts.update(chains)
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.float64())], ["slot", "weight"])
-
-    sums = spans.select("bucket", "spans").mapInArrow(run, "slot long, weight double").groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()
-    model, prior = np.zeros(MODEL_BUCKETS, np.float32), np.zeros(PRIOR_BUCKETS * len(NAMES))
-    slots, weights = sums["slot"].to_numpy(np.int64), sums["weight"].to_numpy(float)
-    low = slots < MODEL_BUCKETS
-    model[slots[low]] = weights[low]
-    prior[slots[~low] - MODEL_BUCKETS] = weights[~low]
+                    _, span = known.number(found)
+                    texts = np.pad(texts, (0, len(known.texts) - len(texts)))
+                    texts += np.bincount(known.own[span], np.where(known.wreck[span] > 0, 0.0, np.where(known.doubted[span] > 0, DOUBT, 1.0)), len(texts))
+                    continue
+                source = sources[start : start + AT_ONCE]
+                p, odds, (record, span, at, candidate) = by.posterior(found, source)
+                np.add.at(chains, source, p)
+                texts = np.pad(texts, (0, len(known.texts) - len(texts)))
+                chain = known.chain[candidate]
+                share = p[record[at], chain]
+                share = np.where(share > 1e-3, share / (1 + np.exp(-np.clip(by.ratio[candidate] + odds[record[at], chain], -60, 60))), 0.0)
+                rest = np.maximum(1 - np.bincount(at, share, len(span)), 0.0) * (known.wreck[span] == 0)
+                real = known.bare[candidate] == 0
+                texts += np.bincount(known.text_of[candidate[real]], share[real], len(texts)) + np.bincount(known.own[span], rest, len(texts))
+        counts = known.counts(np.pad(texts, (0, len(known.texts) - len(texts))))
+        whole = np.rint(np.concatenate([counts, chains.ravel()]) * UNIT).astype(np.int64)
+        where = np.flatnonzero(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(whole[where], pa.int64())], ["slot", "weight"])
+
+    sums = spans.select("bucket", "spans").mapInArrow(run, "slot long, weight long").groupBy("slot").agg(F.sum("weight").alias("weight")).toPandas()
+    both = np.zeros(MODEL_BUCKETS + PRIOR_BUCKETS * len(NAMES))
+    both[sums["slot"].to_numpy(np.int64)] = sums["weight"].to_numpy(float) / UNIT
     shared.unpersist()
-    return model, prior.reshape(PRIOR_BUCKETS, len(NAMES))
+    return both[:MODEL_BUCKETS].astype(np.float32), both[MODEL_BUCKETS:].reshape(PRIOR_BUCKETS, len(NAMES))
 
 
 def _prior(expected: np.ndarray | None) -> np.ndarray:
@@ -344,42 +406,56 @@ def _prior(expected: np.ndarray | None) -> np.ndarray:
     return smoothed / smoothed.sum(axis=1, keepdims=True)
 
 
-def fit(spans: DataFrame, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Model counts and priors after `rounds` rounds of EM over all spans."""
+def fit(spans: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Model counts and priors of EM over all spans, when the expected chains have settled.
+
+    The first rounds learn the priors alone: before these are known, doubtful spans would
+    count as correct and teach the model their garbled form.
+    """
     counts, _ = _expect(spans, None)
-    prior = _prior(None)
-    for _ in range(rounds - 1):
-        counts, expected = _expect(spans, (counts, prior))
+    prior, last = _prior(None), None
+    for number in range(most_rounds):
+        learnt, expected = _expect(spans, (counts, prior))
+        counts = learnt if number >= PRIORS_FIRST else counts
         prior = _prior(expected)
+        now = expected.sum(axis=0)
+        if number > PRIORS_FIRST and np.abs(now - last).sum() <= SETTLED * max(now.sum(), 1.0):
+            break
+        last = now
     return counts, prior
 
 
+def _best(p: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The likeliest chain that can be undone, or "lost" where no span speaks for it more than for that."""
+    every = np.arange(len(p))
+    real = p[:, 1:LOST].argmax(axis=1) + 1
+    return np.where(p[every, real] * prior[:, LOST] > p[:, LOST] * prior[every, real] * (1 + 1e-9), real, LOST)
+
+
 def judge_records(spans: DataFrame, fitted: tuple[np.ndarray, np.ndarray], id_col: str) -> DataFrame:
-    """(id, chain, posterior, wrecked) of the records that were read in a wrong encoding."""
+    """(id, bucket, chain, posterior) of the records that were read in a wrong encoding."""
     shared = spans.sparkSession.sparkContext.broadcast(fitted)
     kind = spans.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(Model(shared.value[0]), shared.value[1])
+        judge = Judge(*shared.value)
         for batch in batches:
-            where, chain, p = [], [], []
-            for i, (bucket, found, wrecked) in enumerate(zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)])):
-                post, _ = judge.posterior(found, bucket)
-                garbled = 1 - post.get(0, 0.0)
-                if wrecked or garbled > 0.5:
-                    best = max((v, k) for k, v in post.items() if k or len(post) == 1)[1]
-                    where.append(i)
-                    chain.append(NAMES[best] if garbled > 0.5 else NAMES[0])
-                    p.append(garbled)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(where, pa.int32())), pa.array(chain, pa.string()), pa.array(p, pa.float64()), batch.column(3).take(pa.array(where, pa.int32()))], [id_col, "chain", "posterior", "wrecked"]
-            )
-
-    return spans.select(id_col, "bucket", "spans", "wrecked").mapInArrow(run, f"`{id_col}` {kind}, chain string, posterior double, wrecked boolean")
+            sources, everything = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            where, chain, garbled = [], [], []
+            for start in range(0, len(everything), AT_ONCE):
+                p, _, _ = judge.posterior(everything[start : start + AT_ONCE], sources[start : start + AT_ONCE])
+                bad = np.flatnonzero(p[:, 0] < 0.5)
+                where += (bad + start).tolist()
+                chain += [NAMES[i] for i in _best(p[bad], shared.value[1][sources[start : start + AT_ONCE][bad]])]
+                garbled += (1 - p[bad, 0]).tolist()
+            taken = pa.array(where, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(chain, pa.string()), pa.array(garbled, pa.float64())], [id_col, "bucket", "chain", "posterior"])
+
+    return spans.select(id_col, "bucket", "spans").mapInArrow(run, f"`{id_col}` {kind}, bucket int, chain string, posterior double")
 
 
 def garbled(records: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: str = "text") -> DataFrame:
-    """(id, chain, posterior, wrecked) of every garbled record of `records` (id, text, source)."""
+    """(id, bucket, chain, posterior) of every garbled record of `records` (id, text, source); `bucket` is its source's."""
     spans = cut(spans_of(records, id_col, text_col, field))
     return judge_records(spans, fit(spans), id_col)
 
@@ -388,27 +464,28 @@ def repaired(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, chain, posterior, restored, whole): the restored text, and whether nothing garbled is left in it."""
     spans = cut(spans_of(records, id_col, text_col, field))
     fitted = fit(spans)
-    cases = judge_records(spans, fitted, id_col).drop("wrecked")
+    cases = judge_records(spans, fitted, id_col)
     shared = spans.sparkSession.sparkContext.broadcast(fitted)
     kind = records.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(Model(shared.value[0]), shared.value[1])
+        judge = Judge(*shared.value)
         number = {n: i for i, n in enumerate(NAMES)}
         for batch in batches:
             restored, whole = [], []
-            for text, chain in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist()):
-                best = number[chain]
-                least = max(MARGIN, -judge.posterior(_SPAN.findall(text), 0)[1].get(best, 0.0))
-
-                def mend(m: re.Match, best: int = best, least: float = least) -> str:
-                    found = [(new, d) for i, new, d in judge.ratios(m.group()) if i == best]
-                    return found[0][0] if found and found[0][1] > least else m.group()
-
-                new = _SPAN.sub(mend, text)
-                restored.append(new)
-                whole.append(not _WRECK.search(new))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], [id_col, "chain", "posterior", "restored", "whole"])
-
-    joined = cases.join(records.select(id_col, text_col), id_col).select(id_col, "chain", "posterior", text_col)
+            chains, texts, sources = batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(1).to_numpy()
+            for start in range(0, len(texts), AT_ONCE):
+                part = texts[start : start + AT_ONCE]
+                _, odds, (record, span, at, candidate) = judge.posterior([_SPAN.findall(t) for t in part], sources[start : start + AT_ONCE])
+                best = np.array([number[c] for c in chains[start : start + AT_ONCE]])
+                least = np.maximum(MARGIN, -odds[np.arange(len(part)), best])
+                chosen = (judge.spans.chain[candidate] == best[record[at]]) & (judge.ratio[candidate] > least[record[at]]) & (judge.spans.bare[candidate] == 0)
+                new: dict[int, str] = {int(a): judge.spans.texts[judge.spans.text_of[c]] for a, c in zip(at[chosen], candidate[chosen])}
+                place = iter(range(len(span)))
+                for t in part:
+                    restored.append(_SPAN.sub(lambda m: new.get(next(place), m.group()), t))
+                    whole.append(not _WRECK.search(restored[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(restored, pa.string()), pa.array(whole, pa.bool_())], [id_col, "chain", "posterior", "restored", "whole"])
+
+    joined = cases.join(records.select(id_col, text_col), id_col).select(id_col, "bucket", "chain", "posterior", text_col)
     return joined.mapInArrow(run, f"`{id_col}` {kind}, chain string, posterior double, restored string, whole boolean")
