@@ -236,14 +236,14 @@ class Spans:
         self.texts: list[str] = []
         self.rows, self.ends = np.zeros((0, 4), np.int32), np.zeros(1, np.int64)
 
-    def number(self, found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """(record, span) numbers of every span of `found`."""
-        at = self.at
-        new = list(dict.fromkeys(s for spans in found for s in spans if s not in at))
-        if new:
+    def number(self, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """(record, span) numbers of every span of `found`; only distinct ones become Python texts."""
+        flat = found.flatten().dictionary_encode()
+        at, distinct = self.at, flat.dictionary.to_pylist()
+        if new := [s for s in distinct if s not in at]:
             self._add(new)
-        flat = np.array([at[s] for spans in found for s in spans], np.int64)
-        return np.repeat(np.arange(len(found)), [len(x) for x in found]), flat
+        numbers = np.array([at[s] for s in distinct], np.int64)
+        return np.repeat(np.arange(len(found)), found.value_lengths().to_numpy()), numbers[flat.indices.to_numpy()]
 
     def _add(self, new: list[str]) -> None:
         texts, own, chain, text_of, bare, count, wreck, doubted = [], [], [], [], [], [], [], []
@@ -316,7 +316,7 @@ class Judge:
             self.ratio = np.concatenate([self.ratio, ratio])
             self.terms = np.concatenate([self.terms, np.log(1 - self.shares + np.exp(ratio)[:, None] * self.shares)])
 
-    def posterior(self, found: list[list[str]], sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    def posterior(self, found: pa.ListArray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
         """Per record and chain the probability and the log odds that a span is garbled; and (record, span) of every span with (span at, candidate) of every candidate."""
         n, s = len(NAMES), self.spans
         record, span = s.number(found)
@@ -354,19 +354,19 @@ def spans_of(records: DataFrame, id_col: str, text_col: str, field: str) -> Data
     return wanted.select(id_col, _source_bucket(field).alias("bucket"), text_col).mapInArrow(run, f"`{id_col}` {kind}, bucket int, spans array<string>")
 
 
-def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+def _expect(spans: DataFrame, judge: tuple[np.ndarray, np.ndarray] | None, shares: np.ndarray = FIT_SHARES) -> tuple[np.ndarray, np.ndarray]:
     """One pass: expected counts of the model and expected chains per source and field."""
     shared = spans.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _spans_kept()
-        by = None if shared.value is None else Judge(*shared.value, FIT_SHARES)
+        by = None if shared.value is None else Judge(*shared.value, shares)
         texts = np.zeros(0)
         chains = np.zeros((PRIOR_BUCKETS, len(NAMES)))
         for batch in batches:
-            sources, everything = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            sources, everything = batch.column(0).to_numpy(), batch.column(1)
             for start in range(0, len(everything), AT_ONCE):
-                found = everything[start : start + AT_ONCE]
+                found = everything.slice(start, AT_ONCE)
                 if by is None:
                     _, span = known.number(found)
                     texts = np.pad(texts, (0, len(known.texts) - len(texts)))
@@ -422,7 +422,8 @@ def fit(spans: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[np.ndarray, n
         if number > PRIORS_FIRST and np.abs(now - last).sum() <= SETTLED * max(now.sum(), 1.0):
             break
         last = now
-    return counts, prior
+    # records are judged with every share, so their priors are learnt with every share at last
+    return counts, _prior(_expect(spans, (counts, prior), SHARES)[1])
 
 
 def _best(p: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -440,10 +441,10 @@ def judge_records(spans: DataFrame, fitted: tuple[np.ndarray, np.ndarray], id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(*shared.value)
         for batch in batches:
-            sources, everything = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            sources, everything = batch.column(1).to_numpy(), batch.column(2)
             where, chain, garbled = [], [], []
             for start in range(0, len(everything), AT_ONCE):
-                p, _, _ = judge.posterior(everything[start : start + AT_ONCE], sources[start : start + AT_ONCE])
+                p, _, _ = judge.posterior(everything.slice(start, AT_ONCE), sources[start : start + AT_ONCE])
                 bad = np.flatnonzero(p[:, 0] < 0.5)
                 where += (bad + start).tolist()
                 chain += [NAMES[i] for i in _best(p[bad], shared.value[1][sources[start : start + AT_ONCE][bad]])]
@@ -476,7 +477,7 @@ def repaired(records: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             chains, texts, sources = batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(1).to_numpy()
             for start in range(0, len(texts), AT_ONCE):
                 part = texts[start : start + AT_ONCE]
-                _, odds, (record, span, at, candidate) = judge.posterior([_SPAN.findall(t) for t in part], sources[start : start + AT_ONCE])
+                _, odds, (record, span, at, candidate) = judge.posterior(pa.array([_SPAN.findall(t) for t in part], pa.list_(pa.string())), sources[start : start + AT_ONCE])
                 best = np.array([number[c] for c in chains[start : start + AT_ONCE]])
                 least = np.maximum(MARGIN, -odds[np.arange(len(part)), best])
                 chosen = (judge.spans.chain[candidate] == best[record[at]]) & (judge.ratio[candidate] > least[record[at]]) & (judge.spans.bare[candidate] == 0)
