@@ -347,19 +347,70 @@ def lineage_rows(all_: DataFrame) -> DataFrame:
     return det.unionByName(inf).unionByName(call).unionByName(db2)
 
 
-def lineage_query(rows: DataFrame, field: str | None = None, program: str | None = None) -> DataFrame:
-    """Rows in which one and the same end has the field and the program."""
+def lineage_query(rows: DataFrame, field: str | None = None, program: str | None = None, qualified: str | None = None, copybook: str | None = None, table: str | None = None) -> DataFrame:
+    """Rows in which one and the same end meets every condition that is given, without regard to case.
+
+    `field` is the last name of an end, `qualified` its whole name within the record,
+    `copybook` the copybook and `table` the table that its name begins with.
+    """
     def end(n: str) -> Column:
+        name = F.upper(F.coalesce(f"{n}_field", F.lit("")))
+        in_table = (F.col("family") == "db2") & name.contains(" ")
+        bare = F.when(in_table, F.element_at(F.split(name, " "), -1)).otherwise(name)
+        own = F.col("family").isin("deterministic", "inferred-high", "inferred-ambiguous", "inferred-semantic")
         ok = F.lit(True)
         if field is not None:
-            ok = ok & F.upper(f"{n}_field").rlike(rf"(^|[ .]){field.upper()}$")
+            ok = ok & (F.element_at(F.split(bare, r"\."), -1) == field.upper())
+        if qualified is not None:
+            ok = ok & ((bare == qualified.upper()) | (own & (F.expr(f"substring({n}_field, instr({n}_field, '.') + 1)") != "") & (F.upper(F.expr(f"substring({n}_field, instr({n}_field, '.') + 1)")) == qualified.upper())))
+        if copybook is not None:
+            ok = ok & own & (F.substring_index(name, ".", 1) == copybook.upper())
+        if table is not None:
+            ok = ok & in_table & (F.substring_index(name, " ", 1) == table.upper())
         if program is not None:
-            ok = ok & F.array_contains(F.split(F.coalesce(f"{n}_program", F.lit("")), ","), program)
+            programs = F.transform(F.split(F.coalesce(f"{n}_program", F.lit("")), ","), F.upper)
+            ok = ok & F.array_contains(programs, program.upper())
         return F.coalesce(ok, F.lit(False))
 
     return rows.where(end("left") | end("right"))
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """Lineage rows in one order, by family and both ends; a sort over all tasks, for the sink only."""
+    return rows.orderBy("family", *[F.col(c).asc_nulls_first() for c in ("left_field", "left_program", "right_field", "right_program", "confidence")])
+
+
+def dataflow_edges(flows: DataFrame, source: str | None = None, target: str | None = None) -> DataFrame:
+    """`flows` (src, dst, ...) from and to given fields; names are compared in upper case and whole."""
+    for c, wanted in (("src", source), ("dst", target)):
+        if wanted is not None:
+            flows = flows.where(F.col(c) == wanted.upper())
+    return flows
+
+
+def procedure_lookup(procedures: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(file, name, kind, found, ambiguous) for `wanted` (file, name, kind or null) among `procedures` (file, name, kind): names are compared in lower case, a null kind takes any."""
+    of = procedures.select(F.col("file"), F.lower("name").alias("_name"), F.lower("kind").alias("_kind")).distinct()
+    asked = wanted.select("file", "name", "kind").distinct()
+    met = asked.withColumn("_name", F.lower("name")).join(of, ["file", "_name"]).where(F.col("kind").isNull() | (F.lower("kind") == F.col("_kind")))
+    counted = met.groupBy("file", "name", F.coalesce("kind", F.lit("")).alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.min("_kind").alias("_one"))
+    both = asked.withColumn("_k", F.coalesce("kind", F.lit(""))).join(counted, ["file", "name", "_k"], "left")
+    return both.select("file", "name", "kind", F.when(F.col("_n") == 1, F.col("_one")).alias("found"), F.coalesce(F.col("_n") > 1, F.lit(False)).alias("ambiguous"))
+
+
+def top_exclusions(found: DataFrame, most: int = 3) -> DataFrame:
+    """(family, excluded, reasons) of `diagnostics`: how much was left out per family and the `most` commonest reasons, ties by name."""
+    ranked = found.where("n > 0").withColumn("_r", F.row_number().over(W.partitionBy("family").orderBy(F.desc("n"), "kind")))
+    text = F.when(F.col("_r") <= most, F.struct("_r", F.concat("kind", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t")))
+    return ranked.groupBy("family").agg(F.sum("n").alias("excluded"), F.array_join(F.transform(F.sort_array(F.collect_list(text)), lambda x: x["t"]), ", ").alias("reasons"))
+
+
+def coverage_table(all_: DataFrame, most: int = 3) -> DataFrame:
+    """(family, indexed, yielding, excluded, reasons): `coverage` beside what was left out of each family and why."""
+    family = F.when(F.col("family") == "call", "call-bound").when(F.col("family") == "field", "deterministic").otherwise(F.col("family"))
+    return coverage(all_).join(top_exclusions(diagnostics(all_).withColumn("family", family), most), "family", "left").fillna(0, ["excluded"]).fillna("", ["reasons"])
+
+
 def procedure_flow(all_: DataFrame, file: str) -> DataFrame:
     """(src, dst) of PERFORMs in one file, targets that are sections lifted to all their paragraphs."""
     mine = all_.where(F.col("file") == file)

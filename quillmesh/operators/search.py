@@ -1,17 +1,22 @@
 """Ranked retrieval: fielded BM25 with synonyms, prefixes, fuzzy terms, bonuses and re-ranking.
 
-Queries come in batches `(qid, query)`; one job answers all of them. Long-form postings
-`(path, field, term, tf)` meet the query terms by equi-join only: prefixes on the first
-two characters, fuzzy terms on length, each with the exact test as a residual. Nothing is
-hinted to broadcast: a small query set is broadcast by its size, a large one is shuffled.
+Queries come in batches `(qid, query)`; one job answers all of them. An index holds the
+postings (term, path, field, tf, length of the field), the vocabulary with document frequencies, the
+documents and one row about the corpus; stored, the postings lie in buckets by term, so queries
+probe them without a shuffle. Query terms are matched with the distinct vocabulary once:
+prefixes meet on the first two characters, fuzzy terms on length, each with the exact test as a
+residual; scores and bonuses then follow from the postings of matched terms alone. Bodies are read
+only for documents that could still reach the best `limit`. Nothing is hinted to broadcast:
+a small query set is broadcast by its size, a large one is shuffled.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +28,8 @@ K1, B, EXPANDED = 1.2, 0.75, 0.4
 OVERVIEW = ("overview", "summary", "compare", "comparison", "difference", "vs")
 OWN_KEYS = ("title", "type", "tags", "created", "updated", "sources", "derived_from")
 FLOOR, STRONG = 2.0, 2.0
+#: What a phrase in the body is worth.
+BODY = 3.0
 FIELDS = tuple(WEIGHTS)
 SIGNAL = ("title", "tags", "slug")
 
@@ -111,52 +118,127 @@ def candidates(posted: DataFrame, terms: DataFrame) -> DataFrame:
     return posted.select("path", "term").join(candidate_terms(posted, terms), "term").select("qid", "path").distinct()
 
 
-def _prefixed(field: Column) -> Callable[[Column], Column]:
-    return lambda t: (F.length(t) >= 2) & F.exists(field, lambda x: x.startswith(t) & (x != t))
+@dataclass
+class Index:
+    """What queries read: `postings` (term, path, field, tf, len), `vocabulary` (term, df), `docs` (as `documents`, without terms), `corpus` (one row)."""
 
+    postings: DataFrame
+    vocabulary: DataFrame
+    docs: DataFrame
+    corpus: DataFrame
 
-def _close(field: Column) -> Callable[[Column], Column]:
-    def close(t: Column) -> Column:
-        k = fuzzy_distance(t)
-        one, two = (k == 1, 1), (k == 2, 2)
-        near = lambda x: (one[0] & (F.levenshtein(t, x, one[1]) >= 0)) | (two[0] & (F.levenshtein(t, x, two[1]) >= 0))
-        return F.exists(field, lambda x: (x != t) & ~x.startswith(t) & near(x))
 
-    return close
+DOCS = ("path", "title", "slug", "type", "tags", "body", "updated")
 
 
-def bonuses() -> Column:
-    """What a document gains beyond BM25; needs the columns of `documents` and `query_terms`."""
-    phrase = F.array_join("terms", " ")
-    total = (
-        F.when(F.lower("title").contains(phrase), 8.0).otherwise(0.0)
-        + F.when(F.lower("slug").contains(F.replace(phrase, F.lit(" "), F.lit("-"))), 6.0).otherwise(0.0)
-        + F.when(F.lower("body").contains(phrase), 3.0).otherwise(0.0)
+def index_of(docs: DataFrame) -> Index:
+    """An index that is computed whenever it is read."""
+    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_terms").alias("terms")) for f in FIELDS]))
+    each = docs.select("path", by_field.alias("f")).select("path", "f.field", F.size("f.terms").alias("len"), F.explode("f.terms").alias("term"))
+    posted = each.groupBy("term", "path", "field").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    return Index(posted, document_frequency(posted), docs.select(*DOCS), corpus(docs))
+
+
+def build_index(pages: DataFrame, folder: str, buckets: int | None = None) -> Index:
+    """Write the index of `pages` to an empty shared folder; it is opened again by `open_index`."""
+    spark = pages.sparkSession
+    buckets = buckets or spark.sparkContext.defaultParallelism
+    made = index_of(documents(pages))
+    parts = spark.createDataFrame([(buckets,)], "buckets int")
+    parts.coalesce(1).write.parquet(f"{folder}/layout")
+    name = _tables(spark, folder, buckets)
+    made.postings.select("path", "field", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"), "term").repartition(buckets, "term").write.insertInto(f"{name}_postings")
+    made.docs.write.parquet(f"{folder}/docs")
+    made.corpus.coalesce(1).write.parquet(f"{folder}/corpus")
+    document_frequency(spark.table(f"{name}_postings")).write.parquet(f"{folder}/vocabulary")
+    return open_index(spark, folder)
+
+
+def _tables(spark: SparkSession, folder: str, buckets: int) -> str:
+    name = f"index_{uuid.uuid5(uuid.NAMESPACE_URL, folder).hex}"
+    schema = "path string, field string, tf int, len int, term string"
+    spark.sql(f"create table if not exists {name}_postings ({schema}) using parquet clustered by (term) sorted by (term) into {buckets} buckets location '{folder}/postings'")
+    return name
+
+
+def open_index(spark: SparkSession, folder: str) -> Index:
+    """A stored index."""
+    name = _tables(spark, folder, spark.read.parquet(f"{folder}/layout").first()[0])
+    return Index(spark.table(f"{name}_postings"), *[spark.read.parquet(f"{folder}/{t}") for t in ("vocabulary", "docs", "corpus")])
+
+
+def matches(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, term, df, kind, q, times): vocabulary terms for each query; kinds are own and synonym, prefix and near with the query term `q` and how often it stands in the query."""
+    exact = terms.select("qid", F.explode("expanded").alias("term"), "terms")
+    own = exact.select("qid", "term", F.when(F.array_contains("terms", F.col("term")), "own").otherwise("synonym").alias("kind"), F.col("term").alias("q"), F.lit(1).alias("times"))
+    single = terms.select("qid", F.explode("terms").alias("q")).groupBy("qid", "q").agg(F.count(F.lit(1)).cast("int").alias("times")).where(F.length("q") >= 2)
+    prefixed = (
+        vocabulary.withColumn("head", F.substring("term", 1, 2))
+        .join(single.withColumn("head", F.substring("q", 1, 2)), "head")
+        .where(F.col("term").startswith(F.col("q")) & (F.col("term") != F.col("q")))
+        .select("qid", "term", "df", F.lit("prefix").alias("kind"), "q", "times")
     )
-    for f in FIELDS:
-        total = total + F.when((F.size("terms") > 1) & (F.size(F.array_except("terms", f"{f}_terms")) == 0), 3.0).otherwise(0.0)
-    overview = F.arrays_overlap("terms", F.array(*map(F.lit, OVERVIEW)))
-    total = total + F.when((F.col("type") == "synthesis") & overview, 2.0).otherwise(0.0)
-    for f in SIGNAL:
-        total = total + F.size(F.filter("terms", _prefixed(F.col(f"{f}_terms")))) * (WEIGHTS[f] * 0.5)
-        total = total + F.size(F.filter("terms", _close(F.col(f"{f}_terms")))) * (WEIGHTS[f] * 0.3)
-    return total
+    k = fuzzy_distance(F.col("q"))
+    banded = single.withColumn("k", k).where("k > 0").withColumn("len", F.explode(F.sequence(F.length("q") - F.col("k"), F.length("q") + F.col("k"))))
+    near = (
+        vocabulary.withColumn("len", F.length("term"))
+        .join(banded, "len")
+        .where(F.when(F.col("k") == 1, F.levenshtein("term", "q", 1)).otherwise(F.levenshtein("term", "q", 2)) >= 0)
+        .select("qid", "term", "df", F.lit("near").alias("kind"), "q", "times")
+    )
+    return own.join(vocabulary, "term").select("qid", "term", "df", "kind", "q", "times").unionByName(prefixed).unionByName(near)
+
+
+def scored(index: Index, terms: DataFrame) -> DataFrame:
+    """(qid, path, base): the score of every candidate from its postings: BM25, fields that hold all query terms, prefixes and near terms."""
+    hit = index.postings.join(matches(index.vocabulary, terms), "term").join(F.broadcast(index.corpus), F.lit(True))  # one row
+    weight, mean = F.lit(0.0), F.lit(None).cast("double")
+    for f, w in WEIGHTS.items():
+        weight = F.when(F.col("field") == f, w).otherwise(weight)
+        mean = F.when(F.col("field") == f, F.col(f"avg_{f}")).otherwise(mean)
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * (F.col("len") / mean)))
+    part = idf * norm * weight * F.when(F.col("kind") == "own", 1.0).when(F.col("kind") == "synonym", EXPANDED)
+    loose = lambda kind, but: F.collect_set(F.when((F.col("kind") == kind) & F.col("field").isin(*SIGNAL) & but, F.struct("q", "times")))  # noqa: E731  # at most one per query term
+    other = (F.col("term") != F.col("q")) & ~F.col("term").startswith(F.col("q"))
+    by_field = hit.groupBy("qid", "path", "field").agg(
+        F.sum(part).alias("bm25"), F.count_if(F.col("kind") == "own").alias("own"), loose("prefix", F.lit(True)).alias("prefix"), loose("near", other).alias("near"), F.max(weight).alias("w")
+    )
+    times = lambda c: F.aggregate(c, F.lit(0), lambda s, x: s + x["times"])
+    whole = by_field.join(terms.select("qid", F.size(F.array_distinct("terms")).alias("distinct"), F.size("terms").alias("many")), "qid")
+    all_of = F.when((F.col("many") > 1) & (F.col("own") == F.col("distinct")), 3.0).otherwise(0.0)
+    gain = all_of + times(F.col("prefix")) * (F.col("w") * 0.5) + times(F.col("near")) * (F.col("w") * 0.3)
+    return whole.groupBy("qid", "path").agg((F.coalesce(F.sum("bm25"), F.lit(0.0)) + F.sum(gain)).alias("base"))
 
 
-def search(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+def search(index: Index | DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """(qid, rank, path, score, snippet, section) of the best `limit` documents of each query.
 
-    Ties are broken by path. Documents outside the candidate gate never appear, however
+    `index` may be the frame of `documents`, which is then indexed on the way. Ties are
+    broken by path. Documents outside the candidate gate never appear, however
     large their bonuses would be. An empty query or corpus gives no rows.
     """
+    index = index if isinstance(index, Index) else index_of(index)
     terms = query_terms(queries)
-    posted = postings(docs).persist(StorageLevel.MEMORY_AND_DISK)  # read by the gate, the frequencies and the scores
-    ranked = candidates(posted, terms).join(bm25(posted, docs, terms), ["qid", "path"], "left")
-    scored = ranked.join(terms.select("qid", "terms"), "qid").join(docs, "path").withColumn("score", round2(F.coalesce("bm25", F.lit(0.0)) + bonuses()))
-    best = W.partitionBy("qid").orderBy(F.desc("score"), "path")
-    # texts stay behind until the few best are known; the sign of the score is tested behind the rank, so it is computed once
-    top = scored.select("qid", "path", "score").withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= limit) & (F.col("score") > 0))
-    shown = top.join(docs.select("path", "title", "body"), "path").join(terms.select("qid", "terms"), "qid")
+    asked = terms.select("qid", "terms", F.array_join("terms", " ").alias("phrase"))
+    overview = F.arrays_overlap("terms", F.array(*map(F.lit, OVERVIEW)))
+    named = (
+        F.when(F.lower("title").contains(F.col("phrase")), 8.0).otherwise(0.0)
+        + F.when(F.lower("slug").contains(F.replace("phrase", F.lit(" "), F.lit("-"))), 6.0).otherwise(0.0)
+        + F.when((F.col("type") == "synthesis") & overview, 2.0).otherwise(0.0)
+    )
+    rows = scored(index, terms).join(index.docs.select("path", "title", "slug", "type"), "path").join(asked, "qid")
+    rows = rows.select("qid", "path", "phrase", (F.col("base") + named).alias("base"))
+    # a body adds at most BODY: who is further behind the last of the best cannot get among them
+    best = W.partitionBy("qid").orderBy(F.desc("base"), "path")
+    bound = rows.select("qid", "path", "base").withColumn("_n", F.row_number().over(best)).where(F.col("_n") == limit).select("qid", F.col("base").alias("_least"))
+    near = rows.join(bound, "qid", "left").where(F.col("_least").isNull() | (F.col("base") + BODY + 0.01 >= F.col("_least")))
+    said = near.join(index.docs.select("path", F.col("body").alias("_body")), "path")
+    score = round2(F.col("base") + F.when(F.lower("_body").contains(F.col("phrase")), BODY).otherwise(0.0))
+    order = W.partitionBy("qid").orderBy(F.desc("score"), "path")
+    # the sign of the score is tested behind the rank, so it is computed once
+    top = said.select("qid", "path", score.alias("score")).withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= limit) & (F.col("score") > 0))
+    shown = top.join(index.docs.select("path", "title", "body"), "path").join(terms.select("qid", "terms"), "qid")
     at = hit_position(F.lower("body"), F.col("terms"))
     return shown.select("qid", "rank", "path", "score", snippet(at).alias("snippet"), F.when(at["pos"].isNotNull(), section_at(F.col("body"), at["pos"])).alias("section"))
 

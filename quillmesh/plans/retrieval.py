@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search as se
-from ..session import spread, table
+from ..session import checkpoint_dir, spread, table
 
 ASKED = ["ledger archive", "cutover plan recovery", "config repo", "overview of the settlement", "premum ledgr", "journal", "scheduler outage report", "inventory inventory", "nothingmatchesthis", "ci deploy"]
 
@@ -19,7 +21,24 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return se.documents(spread(table(spark, d, "wiki_pages"))).persist()
+    return se.documents(spread(table(spark, d, "wiki_pages")))
+
+
+_BUILT: dict[tuple, str] = {}
+
+
+def index(spark: SparkSession, d: str) -> se.Index:
+    """The stored index of the pages: built when first asked for, and again when the files have changed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/wiki_pages.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path))
+    key = (spark.sparkContext.applicationId, d, tuple(found))
+    if key in _BUILT:
+        return se.open_index(spark, _BUILT[key])
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    made = se.build_index(spread(table(spark, d, "wiki_pages")), folder)
+    _BUILT[key] = folder
+    return made
 
 
 def search_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -45,37 +64,37 @@ def search_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_topk(spark: SparkSession, d: str) -> DataFrame:
-    return se.search(docs(spark, d), asked(spark)).drop("section")
+    return se.search(index(spark, d), asked(spark)).drop("section")
 
 
 def search_sections(spark: SparkSession, d: str) -> DataFrame:
-    return se.search(docs(spark, d), asked(spark)).select("qid", "path", "section")
+    return se.search(index(spark, d), asked(spark)).select("qid", "path", "section")
 
 
 def search_envelope(spark: SparkSession, d: str) -> DataFrame:
     q = asked(spark)
-    return se.envelope(se.search(docs(spark, d), q), q).withColumn("ratio", F.round("ratio", 6))
+    return se.envelope(se.search(index(spark, d), q), q).withColumn("ratio", F.round("ratio", 6))
 
 
 def search_filtered(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    return se.post_filter(se.search(x, asked(spark), 15), x, 5, "concept", None)
+    x = index(spark, d)
+    return se.post_filter(se.search(x, asked(spark), 15), x.docs, 5, "concept", None)
 
 
 def search_reads(spark: SparkSession, d: str) -> DataFrame:
-    return se.reads(se.search(docs(spark, d), asked(spark)), 3)
+    return se.reads(se.search(index(spark, d), asked(spark)), 3)
 
 
 def search_inline(spark: SparkSession, d: str) -> DataFrame:
-    x = docs(spark, d)
-    return se.inline_budget(se.search(x, asked(spark)).join(x.select("path", "body"), "path"), 3000)
+    x = index(spark, d)
+    return se.inline_budget(se.search(x, asked(spark)).join(x.docs.select("path", "body"), "path"), 3000)
 
 
 def search_downgrade(spark: SparkSession, d: str) -> DataFrame:
     """Confidence after reading the first page of each query."""
     pages = table(spark, d, "wiki_pages")
     q = asked(spark)
-    found = se.search(docs(spark, d), q)
+    found = se.search(index(spark, d), q)
     env = se.envelope(found, q).select("qid", "confidence")
     has = F.coalesce(F.size("sources") > 0, F.lit(False))
     legacy = F.coalesce(F.try_element_at("frontmatter", F.lit("status")) == "draft", F.lit(False))
@@ -102,7 +121,7 @@ def vector_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 def search_hybrid(spark: SparkSession, d: str) -> DataFrame:
     """Lexical results of 3k re-ranked by vectors: a page has the vector of its page_id, a query that of its qid."""
-    lexical = se.search(docs(spark, d), asked(spark), 15).select("qid", "path", "score")
+    lexical = se.search(index(spark, d), asked(spark), 15).select("qid", "path", "score")
     v = vectors(spark, d)
     of = table(spark, d, "wiki_pages").join(v, F.col("page_id") == F.col("vec_id")).select("path", "embedding")
     return se.rerank(lexical, of, v.select(F.col("vec_id").cast("int").alias("qid"), "embedding"), 5)

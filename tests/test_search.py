@@ -115,3 +115,26 @@ def test_no_nested_loop_over_the_vocabulary(spark, docs):
 def test_empty_corpus(spark, docs):
     q = spark.createDataFrame([(0, "detection")], "qid int, query string")
     assert se.search(docs.limit(0), q).count() == 0
+
+
+def test_stored_index_gives_the_same_and_is_probed_in_buckets(spark, tmp_path):
+    pages = spark.createDataFrame([(*r, 1, "f") for r in CORPUS], PAGE)
+    q = spark.createDataFrame([(1, "yolo detection"), (2, "compter vision"), (3, "zzz")], "qid int, query string")
+    stored = se.build_index(pages, f"{tmp_path}/index", 2)
+    want = sorted(map(repr, se.search(se.documents(pages), q).collect()))
+    assert sorted(map(repr, se.search(stored, q).collect())) == want and want
+    assert sorted(map(repr, se.search(se.open_index(spark, f"{tmp_path}/index"), q).collect())) == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = stored.postings.join(spark.createDataFrame([("yolo",)], "term string"), "term")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
+def test_bodies_are_read_only_where_they_can_matter(spark):
+    rows = [(f"p{i:02}.md", "Alpha Beta" if i < 20 else f"other {i}", "note", [], "alpha beta here" if i in (3, 25) else "beta something alpha", {}, None) for i in range(40)]
+    pages = spark.createDataFrame([(*r, 1, "f") for r in rows], PAGE)
+    q = spark.createDataFrame([(1, "alpha beta")], "qid int, query string")
+    everything = se.search(se.documents(pages), q, 40).where("rank <= 5").select("path", "score").collect()
+    assert se.search(se.documents(pages), q, 5).select("path", "score").collect() == everything and everything[0].path == "p03.md"
