@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import expand, fuzzy_distance, normalize, round2, stem, tokens
+from ..session import cut
 
 #: Weights and constants of the ranking (fixed values).
 WEIGHTS = {"title": 4.0, "tags": 3.0, "slug": 3.0, "frontmatter": 1.5, "body": 1.0}
@@ -228,10 +229,11 @@ def search(index: Index | DataFrame, queries: DataFrame, limit: int = 10) -> Dat
         + F.when((F.col("type") == "synthesis") & overview, 2.0).otherwise(0.0)
     )
     rows = scored(index, terms).join(index.docs.select("path", "title", "slug", "type"), "path").join(asked, "qid")
-    rows = rows.select("qid", "path", "phrase", (F.col("base") + named).alias("base"))
+    rows = cut(rows.select("qid", "path", "phrase", (F.col("base") + named).alias("base")))  # read twice; as narrow as a row of scores
     # a body adds at most BODY: who is further behind the last of the best cannot get among them
     best = W.partitionBy("qid").orderBy(F.desc("base"), "path")
-    bound = rows.select("qid", "path", "base").withColumn("_n", F.row_number().over(best)).where(F.col("_n") == limit).select("qid", F.col("base").alias("_least"))
+    leaders = rows.select("qid", "path", "base").withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit)
+    bound = leaders.groupBy("qid").agg(F.min("base").alias("_least"), F.count(F.lit(1)).alias("_many")).where(F.col("_many") == limit).drop("_many")
     near = rows.join(bound, "qid", "left").where(F.col("_least").isNull() | (F.col("base") + BODY + 0.01 >= F.col("_least")))
     said = near.join(index.docs.select("path", F.col("body").alias("_body")), "path")
     score = round2(F.col("base") + F.when(F.lower("_body").contains(F.col("phrase")), BODY).otherwise(0.0))
