@@ -98,21 +98,26 @@ def shingle_sets(texts: DataFrame, width: int = 3, min_words: int = MIN_WORDS) -
 
 def candidate_pairs(banded: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct (a, b), a < b, of rows (id, bands) that share a band key."""
-    keyed = banded.select("id", F.explode("bands").alias("key"))
+    return pairs_within(banded.select("id", F.explode("bands").alias("key")), block).distinct()
+
+
+def pairs_within(keyed: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b, of the rows (key, id) of each key, once per key.
+
+    The members of a key fall into blocks; each pair of blocks is a group of its own, so no
+    task gets a whole large key.
+    """
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = keyed.join(counts, "key")
-    # members of a bucket fall into blocks; each pair of blocks is a group of its own
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    placed = shared.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
+    placed = keyed.join(counts, "key").withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    spread = placed.select(
+    cells = placed.select(
         "key", "id", "own", F.explode(F.transform(others, lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))).alias("cell")
     ).select("key", "id", "own", "cell.x", "cell.y")
-    left, right = spread.alias("l"), spread.alias("r")
+    left, right = cells.alias("l"), cells.alias("r")
     # within a cell of two blocks only pairs across them, within a diagonal cell every pair once
     across = (F.col("l.x") == F.col("l.y")) | (F.col("l.own") != F.col("r.own"))
     same = (F.col("l.key") == F.col("r.key")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
-    return left.join(right, same & (F.col("l.id") < F.col("r.id")) & across).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return left.join(right, same & (F.col("l.id") < F.col("r.id")) & across).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
 def _agreement(x: Column, y: Column) -> Column:
@@ -199,14 +204,22 @@ def groups(texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words:
     )
 
 
-def all_pairs(member: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair (id_a < id_b) of different records in one class or in linked classes: where the result must list pairs."""
-    x, y = member.toDF("id_a", "class_id"), member.toDF("id_b", "class_id")
-    copies = x.join(y, "class_id").where("id_a < id_b").select("id_a", "id_b")
+def all_pairs(member: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Every pair (id_a < id_b) of different records in one class or in linked classes: where the result must list pairs.
+
+    Classes of more than `block` members are dealt into parts on both sides of a link, so
+    a class that holds a third of all records is many groups.
+    """
+    copies = pairs_within(member.select(F.col("class_id").alias("key"), "id"), block).toDF("id_a", "id_b")
+    parts = member.groupBy("class_id").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    placed = member.join(parts, "class_id").select("id", "class_id", F.pmod(F.hash("id"), F.col("parts")).alias("part"))
+    each = links.select("a", "b")
+    for end in ("a", "b"):
+        of = parts.select(F.col("class_id").alias(end), F.col("parts").alias(f"_{end}"))
+        each = each.join(of, end).withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), F.col(f"_{end}") - 1))).drop(f"_{end}")
     linked = (
-        links.select("a", "b")
-        .join(member.toDF("p", "a"), "a")
-        .join(member.toDF("q", "b"), "b")
+        each.join(placed.toDF("p", "a", "part_a"), ["a", "part_a"])
+        .join(placed.toDF("q", "b", "part_b"), ["b", "part_b"])
         .select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
     )
     return copies.union(linked)

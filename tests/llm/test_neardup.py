@@ -43,6 +43,16 @@ def test_large_buckets_are_cut_into_blocks_without_loss(spark):
     assert got == set(itertools.combinations(range(100), 2))
 
 
+def test_large_classes_are_dealt_into_parts_without_loss(spark):
+    classes = {0: range(0, 30), 100: range(100, 140), 200: [200], 300: [300, 301]}
+    member = spark.createDataFrame([(i, c) for c, ids in classes.items() for i in ids], "id long, class_id long")
+    links = spark.createDataFrame([(0, 100, 0.7), (100, 200, 0.9)], "a long, b long, similarity double")
+    got = [tuple(r) for r in neardup.all_pairs(member, links, block=8).collect()]
+    want = {p for ids in classes.values() for p in itertools.combinations(ids, 2)}
+    want |= {(x, y) for a, b in ((0, 100), (100, 200)) for x in classes[a] for y in classes[b]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_groups(spark):
     rows = corpus(60)
     texts = spark.createDataFrame([(i, t, 1) for i, t in rows], "id long, text string, class_id int").select("id", "text")
