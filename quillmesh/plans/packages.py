@@ -32,7 +32,7 @@ def lint_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_lint_all(spark: SparkSession, d: str) -> DataFrame:
-    """All nine rules; without SQL, as number claims have none."""
+    """All nine rules."""
     return li.lint_all(table(spark, d, "wiki_pages"), *raw_state(spark, d), NOW)
 
 

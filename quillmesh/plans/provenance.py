@@ -254,3 +254,8 @@ ORACLE = {
  s as (select path, lower(unnest(tags)) s from wiki_pages where not contains(path, '/') union select path, unnest(regexp_split_to_array(lower(title), '[\s\-_]+')) from wiki_pages where not contains(path, '/')),
  b as (select path, min(struct_pack(d := -i, dir := dir)) b from s join n on contains(s, nm) or contains(nm, s) where s <> '' group by 1) select w.path, case when b is null then w.path else b.dir || '/' || w.path end routed from wiki_pages w left join b using (path)""",
 }
+_PAIRED = r"""c as (select page, pos, "key" k, excerpt, "value" v from dates union all select page, pos, "key", excerpt, "value" from numbers), f as (select * from c qualify row_number() over (partition by k, page order by pos) = 1),
+ o as (select f.*, coalesce(tags, []) tags, coalesce(links, []) links, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') st, regexp_replace(path, '\.md$', '') sl from f join wiki_pages w on w.path = f.page)
+ select regexp_replace(a.k, '(?i)\bn\b', '?', 'g') claim, a.page page_a, a.excerpt excerpt_a, b.page page_b, b.excerpt excerpt_b, case when abs(a.v - b.v) > 10 then 'error' else 'warning' end severity
+ from o a join o b on a.k = b.k and a.page < b.page and a.v <> b.v where list_has_any(a.tags, b.tags) or list_has_any(a.links, [b.st, b.sl]) or list_has_any(b.links, [a.st, a.sl])"""
+ORACLE["claim_contradictions_all"] = f"with dates as ({ORACLE['claim_dates']}), numbers as ({ORACLE['claim_numbers']}), {_PAIRED}"
