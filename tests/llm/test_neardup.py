@@ -1,8 +1,12 @@
 import itertools
 import random
+from pathlib import Path
+
+import numpy as np
 
 from quillmesh.llm import batches, neardup
 from quillmesh.llm.shingles import WORD
+from quillmesh.session import checkpoint_dir
 
 
 def shingles(text, width=3):
@@ -177,5 +181,35 @@ def test_history_is_read_in_buckets(spark, tmp_path):
     assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def files_below(folder):
+    return {p for p in Path(folder.removeprefix("file:")).rglob("*") if p.is_file()}
+
+
+def test_a_load_leaves_its_history_only(spark, tmp_path):
+    rows = raws(120, 11)
+    df = spark.createDataFrame(rows, RAW)
+    before = files_below(checkpoint_dir(spark))
+    history = batches.History(spark, f"{tmp_path}/h", buckets=2)
+    found = [history.add(df.where(w)) for w in ("batch_no is null or batch_no = 1", "batch_no = 2", "batch_no = 3")]
+    assert {(r.accepted_id, r.raw_id) for f in found for r in f.collect() if r.accepted_id} == brute(rows)
+    assert files_below(checkpoint_dir(spark)) == before
+    assert {p.name for p in (tmp_path / "h").iterdir()} == {"decided", "keys", "loads", "orders", "pivots", "sets"}
+    assert len(history.orders) == 1  # of less than a growth by four
+
+
+def test_sketches_end_pairs_in_the_join_and_lose_none(spark):
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(1)
+    common = [" ".join(rng.choices(words, k=3)) for _ in range(4)]
+    texts = [" ".join([*rng.choices(words, k=40), rng.choice(common), *rng.choices(words, k=20)]) for _ in range(60)]
+    texts += [t.replace(t.split()[5], "changed") for t in texts[:20]]
+    sets = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "cls long, body string, new boolean")
+    probes = batches.pivot_rows(sets, [(1, np.zeros(batches.COUNTERS, np.uint32))])
+    pairs = lambda rows: {(r.a, r.b) for r in batches.candidates(rows, rows, 0.6, True).collect()}
+    true = {(a, b) for a, b in itertools.combinations(range(80), 2) if similarity(shingles(texts[a]), shingles(texts[b])) >= 0.6}
+    with_bits, without = pairs(probes), pairs(probes.drop(*batches.BITS))
+    assert len(true) >= 20 and true <= with_bits < without
+
+
 def test_no_rows(spark, tmp_path):
     assert batches.duplicates(spark.createDataFrame([], RAW), f"{tmp_path}/h", buckets=2).count() == 0
