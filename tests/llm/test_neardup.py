@@ -211,5 +211,16 @@ def test_sketches_end_pairs_in_the_join_and_lose_none(spark):
     assert len(true) >= 20 and true <= with_bits < without
 
 
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(1)
+    for n, shared in ((12, 9), (60, 30), (150, 0), (400, 390)):
+        a, rest = (rng.integers(0, 2**64, k, dtype=np.uint64) for k in (n, n - shared))
+        b = np.concatenate([a[:shared], rest])
+        differing = [sum(int(x).bit_count() for x in (batches.set_bits(a, w) ^ batches.set_bits(b, w)).view(np.uint64)) for w in (128, batches.WIDE)]
+        assert max(differing) <= 2 * (n - shared)
+        if not shared:
+            assert differing[0] <= 2 * n / 4 < differing[1]  # only the wide one tells sets of this size apart
+
+
 def test_no_rows(spark, tmp_path):
     assert batches.duplicates(spark.createDataFrame([], RAW), f"{tmp_path}/h", buckets=2).count() == 0
