@@ -9,14 +9,14 @@ from ..functions.text import stem
 from ..session import cut, spread
 from .claims import all_claims, contradictions
 from .pages import broken_links, issue, lint
+from .ranking import best
 from .raw import verify
-from .search import documents, search
 
 
 def suggested(pages: DataFrame, most: int = 3) -> DataFrame:
     """(link, rank, path, score): the pages that a broken link may have meant."""
     links = broken_links(pages).select(F.col("link").alias("qid"), F.replace(F.regexp_replace("link", r"\.md$", ""), F.lit("-"), F.lit(" ")).alias("query")).distinct()
-    return search(documents(pages), links, most).select(F.col("qid").alias("link"), "rank", "path", "score")
+    return best(pages, links, most).select(F.col("qid").alias("link"), "rank", "path", "score")
 
 
 def lint_all(pages: DataFrame, files: DataFrame, cache: DataFrame, now_micros: int, stale_days: int = 30) -> DataFrame:

@@ -35,14 +35,19 @@ FIELDS = tuple(WEIGHTS)
 SIGNAL = ("title", "tags", "slug")
 
 
+def field_texts() -> dict[str, Column]:
+    """The text of each field of a page; null where there is none."""
+    rest = F.map_values(F.map_filter("frontmatter", lambda k, _: ~k.isin(*OWN_KEYS)))
+    tags = F.array_join(F.coalesce(F.col("tags"), F.array().cast("array<string>")), " ")
+    return {"title": F.col("title"), "tags": tags, "slug": stem(F.col("path")), "frontmatter": F.array_join(rest, " "), "body": F.col("content")}
+
+
 def documents(pages: DataFrame) -> DataFrame:
     """path, title, slug, type, tags, body, updated and an array of terms per field; nulls count as empty."""
     empty = F.coalesce(F.col("tags"), F.array().cast("array<string>"))
-    rest = F.map_values(F.map_filter("frontmatter", lambda k, _: ~k.isin(*OWN_KEYS)))
-    slug = stem(F.col("path"))
-    text = {"title": F.col("title"), "tags": F.array_join(empty, " "), "slug": slug, "frontmatter": F.array_join(rest, " "), "body": F.col("content")}
+    text = field_texts()
     return pages.select(
-        "path", F.coalesce("title", F.lit("")).alias("title"), slug.alias("slug"), "type", empty.alias("tags"), F.coalesce("content", F.lit("")).alias("body"), "updated",
+        "path", F.coalesce("title", F.lit("")).alias("title"), text["slug"].alias("slug"), "type", empty.alias("tags"), F.coalesce("content", F.lit("")).alias("body"), "updated",
         *[tokens(text[f]).alias(f"{f}_terms") for f in FIELDS],
     )
 
